@@ -51,11 +51,11 @@ def corpus(seed, n):
     return rows + [(n, None), (n + 1, " \n"), (None, rows[0][1]), (5, rows[40][1]), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(4, 85, 100), (5, 80, 100), (1, 60, 100)])
-def test_matches_brute_force(spark, width, num, den):
+@pytest.mark.parametrize(("width", "num", "den", "hot"), [(4, 85, 100, 4), (5, 80, 100, 1), (1, 60, 100, 1)])
+def test_matches_brute_force(spark, width, num, den, hot):
     rows = corpus(width, 400)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, id string, key int")
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, width=width, num=num, den=den).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, width=width, num=num, den=den, hot_members=hot, broadcast_rows=hot).collect())
     assert got == brute(rows, width, num, den)
 
 
