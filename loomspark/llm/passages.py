@@ -108,10 +108,16 @@ def _removed(width: int):
         words = [(x or "").encode().split() for x in texts]
         gone = [None] * len(words)
         if windows.num_rows:
-            automaton = _automaton(words, windows.column("place").to_numpy(), width)
-            known = np.sort(windows.column("window").to_numpy().view(np.uint64))
-            for lo, hi, data, offsets in text_blocks(docs.column("text")):
-                hashes, rows = word_hashes(data, offsets)
+            places = np.sort(windows.column("place").to_numpy())
+            automaton = _automaton(words, places, width)
+            blocks = [(lo, hi, *word_hashes(data, offsets)) for lo, hi, data, offsets in text_blocks(docs.column("text"))]
+            # the recurring windows' hashes are taken anew at their places, so only places were sent
+            known = []
+            for lo, hi, hashes, rows in blocks:
+                own = places[slice(*np.searchsorted(places, [lo << 32, hi << 32]))]
+                known.append(window_hashes(hashes, width)[rows[(own >> 32) - lo] + (own & 0xFFFFFFFF)] if len(own) else np.zeros(0, np.uint64))
+            known = np.sort(np.concatenate(known))
+            for lo, hi, hashes, rows in blocks:
                 for k in range(lo, hi):
                     own = words[k]
                     if len(own) < width:
@@ -155,7 +161,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, shard_mb: int = 8, id_col:
     routed = each.select("anchor", "shard").join(twice, "anchor").select("shard", "anchor")
 
     found = plain.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_windows(width), "window bigint, shard int, place bigint, n int")
-    recurring = found.select("*", F.sum("n").over(Window.partitionBy("window")).alias("total")).where("total > 1").select("shard", "window", "place")
-    recurring = written(recurring, "recurring")
+    recurring = found.select("*", F.sum("n").over(Window.partitionBy("window")).alias("total")).where("total > 1").select("shard", "place")
+    # one plan: both steps read one shuffle of the texts
     out = plain.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_removed(width), "row bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("row", id_col)
