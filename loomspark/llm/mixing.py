@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import written
 
 LEVELS = ("domain", "lang", "source")
+#: Places in which the rows of one leaf meet its budget, so that a leaf with a third of all rows isn't one task's.
+SALTS = 32
 
 
 def count_words(text: Column) -> Column:
@@ -85,9 +87,12 @@ def mix_sources(docs: DataFrame, domain: Column, share: float = 0.5, weights: di
     budget = float(total.first()[0] or 0) * share
     plan = leaf_budgets(leaves, F.lit(budget), weights or {}, max_epochs).select(*LEVELS, F.when(F.col("tokens") > 0, F.floor(F.col("take") / F.col("tokens"))).otherwise(0).cast("bigint").alias("epochs"), F.when(F.col("tokens") > 0, F.col("take") % F.col("tokens")).otherwise(0).alias("left"))
 
-    ordered = slim.join(plan, list(LEVELS)).where("left > 0 and tokens > 0")
+    # a leaf's documents meet its budget in SALTS places; the leaves are repeated there, the documents are not
+    dealt = slim.groupBy(*LEVELS, "_tag").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("_salt", F.pmod(F.xxhash64("_tag"), F.lit(SALTS)).cast("int"))
+    found = dealt.join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*LEVELS, "_salt"]).drop("_salt")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), "_tag"))
-    units = ordered.groupBy(*LEVELS, "_tag", "left", "epochs").agg(F.sum("tokens").alias("tokens")).withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, 3))
+    planned = written(found.where("epochs > 0 or left > 0").withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, 3)), "planned")
+    units = planned.where("left > 0")
     slices = units.groupBy(*LEVELS, "_slice").agg(F.sum("tokens").alias("tokens"))
     upto = slices.select(*LEVELS, "_slice", F.coalesce(F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.col("tokens").alias("_all"))
     placed = units.join(upto, [*LEVELS, "_slice"]).where(F.col("_before") < F.col("left"))
@@ -98,7 +103,7 @@ def mix_sources(docs: DataFrame, domain: Column, share: float = 0.5, weights: di
 
     keys = {"_d": F.col("mix_domain"), "_l": named("lang"), "_s": named("source"), "_tag": tag}
     out = row.select("*", *[v.alias(k) for k, v in keys.items()])
-    out = out.join(plan.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "epochs"), ["_d", "_l", "_s"], "left")
-    out = out.join(chosen.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "_tag", "_more"), ["_d", "_l", "_s", "_tag"], "left")
-    copies = F.when(F.col("mix_tokens") > 0, F.coalesce("epochs", F.lit(0)) + F.coalesce("_more", F.lit(0))).otherwise(0).cast("bigint")
+    copied = planned.join(chosen, [*LEVELS, "_tag"], "left").withColumn("_copies", F.col("epochs") + F.coalesce("_more", F.lit(0))).where("_copies > 0")
+    out = out.join(copied.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "_tag", "_copies"), ["_d", "_l", "_s", "_tag"], "left")
+    copies = F.when(F.col("mix_tokens") > 0, F.coalesce("_copies", F.lit(0))).otherwise(0).cast("bigint")
     return out.select(*old.columns, "mix_domain", "mix_tokens", copies.alias("mix_copies"))
