@@ -180,6 +180,15 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").join(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("reference")), "doc_id").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("prediction"), "reference")
 
 
+def _all_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Every document, whole, with the benchmark item that its id selects by the number of items."""
+    items = table(s, d, "benchmark")
+    ranks = items.agg(F.array_sort(F.collect_list("item_id")).alias("ids")).select(F.posexplode("ids").alias("rank", "item_id"))
+    refs = items.join(ranks, "item_id").select("rank", F.col("text").alias("reference"))
+    docs = table(s, d, "documents").join(F.broadcast(items.agg(F.count("*").alias("n_items"))))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"), F.pmod("doc_id", "n_items").cast("int").alias("rank")).join(refs, "rank").select("id", "prediction", "reference")
+
+
 def _overlap_sql(n: int) -> str:
     return f"""w{n} AS (SELECT id, {_GRAMS.format("p", n)} AS p, {_GRAMS.format("r", n)} AS r FROM w),
  c{n} AS (SELECT id, g, sum(a) AS a, sum(b) AS b FROM (SELECT id, unnest(p) AS g, 1 AS a, 0 AS b FROM w{n} UNION ALL SELECT id, unnest(r), 0, 1 FROM w{n}) GROUP BY ALL),
@@ -190,8 +199,12 @@ _PAIRS_SQL = f"""WITH q AS (SELECT doc_id AS id, left(d.text, 400) AS prediction
 query("e01_exact_match", _PAIRS_SQL + "z AS (SELECT 1) SELECT id, trim(prediction) = trim(reference) AS exact FROM q")(lambda s, d: quality.exact_match(_pairs(s, d)))
 query("e02_token_f1", _PAIRS_SQL + _overlap_sql(1) + " SELECT id, round(coalesce(2.0 * common / nullif(np + nr, 0), 0), 6) AS f1 FROM o1")(lambda s, d: quality.token_f1(_pairs(s, d)))
 query("e04_rouge_2", _PAIRS_SQL + _overlap_sql(2) + " SELECT id, round(coalesce(common / nullif(nr, 0), 0), 6) AS rouge FROM o2")(lambda s, d: quality.rouge_recall(_pairs(s, d), 2))
-query("e03_bleu")(lambda s, d: quality.bleu(_pairs(s, d)))
-query("e05_rouge_l")(lambda s, d: quality.rouge_l(_pairs(s, d)))
+query("e03_bleu")(lambda s, d: quality.bleu(_all_pairs(s, d)))
+query("e05_rouge_l")(lambda s, d: quality.rouge_l(_all_pairs(s, d)))
+_ALL_PAIRS_SQL = _PAIRS_SQL.replace("left(d.text, 400)", "d.text").replace("JOIN benchmark b ON item_id = doc_id", "JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON k = doc_id % (SELECT count(*) FROM benchmark)")
+query("e01_exact_match_all", _ALL_PAIRS_SQL + "z AS (SELECT 1) SELECT id, trim(prediction) = trim(reference) AS exact FROM q")(lambda s, d: quality.exact_match(_all_pairs(s, d)))
+query("e02_token_f1_all", _ALL_PAIRS_SQL + _overlap_sql(1) + " SELECT id, round(coalesce(2.0 * common / nullif(np + nr, 0), 0), 6) AS f1 FROM o1")(lambda s, d: quality.token_f1(_all_pairs(s, d)))
+query("e04_rouge_2_all", _ALL_PAIRS_SQL + _overlap_sql(2) + " SELECT id, round(coalesce(common / nullif(nr, 0), 0), 6) AS rouge FROM o2")(lambda s, d: quality.rouge_recall(_all_pairs(s, d), 2))
 query("a12_grouping_sets", "SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents GROUP BY GROUPING SETS ((lang), ())")(lambda s, d: table(s, d, "documents").rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean")))
 query("a28_compare_reports", "WITH b AS (SELECT lang AS metric, count(*)::DOUBLE AS v FROM documents WHERE source < 'src3' GROUP BY 1), a AS (SELECT lang AS metric, count(*)::DOUBLE AS v FROM documents GROUP BY 1) SELECT metric, coalesce(b.v, 0) AS before, coalesce(a.v, 0) AS after, round(coalesce(a.v, 0) - coalesce(b.v, 0), 6) AS delta, coalesce(a.v, 0) > coalesce(b.v, 0) AS improved FROM b FULL JOIN a USING (metric)")(
     lambda s, d: quality.compare_reports(*(x.groupBy(F.col("lang").alias("metric")).agg(F.count("*").cast("double").alias("value")) for x in (table(s, d, "documents").where("source < 'src3'"), table(s, d, "documents")))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +23,37 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def matches(pairs: DataFrame, sizes: tuple[int, ...], id_col: str = "id") -> DataFrame:
+    """(id, n_p, n_r, common): token counts of both sides, and the multiset intersection of their n-grams for each n of ``sizes``.
+
+    Counted row by row in time linear in the texts, so whole documents are never dealt out by n-gram.
+    """
+    joined = lambda c: F.array_join(tokens(F.col(c)), " ")
+
+    @F.pandas_udf("array<bigint>")
+    def counts(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(p, r) -> list[int]:
+            p, r = p.split(" ") if p else [], r.split(" ") if r else []
+            out = [len(p), len(r)]
+            for n in sizes:
+                left, common = Counter(zip(*(r[k:] for k in range(n)))), 0
+                for g in zip(*(p[k:] for k in range(n))):
+                    if left.get(g, 0):
+                        left[g] -= 1
+                        common += 1
+                out.append(common)
+            return out
+
+        return pd.Series([one(p, r) for p, r in zip(a, b)], dtype=object)
+
+    x = pairs.select(id_col, counts(joined("prediction"), joined("reference")).alias("m"))
+    return x.select(id_col, F.col("m")[0].alias("n_p"), F.col("m")[1].alias("n_r"), F.slice("m", 3, len(sizes)).alias("common"))
+
+
 def overlap(pairs: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     """(id, common, n_prediction, n_reference): the multiset intersection of n-grams of ``pairs(id, prediction, reference)``."""
-    gram = lambda c: ngrams(tokens(F.col(c)), n)
-    side = lambda c, a, b: pairs.select(id_col, F.explode(gram(c)).alias("g"), F.lit(a).alias("p"), F.lit(b).alias("r"))
-    counts = side("prediction", 1, 0).unionByName(side("reference", 0, 1)).groupBy(id_col, "g").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    sums = counts.groupBy(id_col).agg(F.sum(F.least("p", "r")).alias("common"), F.sum("p").alias("n_prediction"), F.sum("r").alias("n_reference"))
-    return pairs.select(id_col).join(sums, id_col, "left").na.fill(0)
+    grams = lambda c: F.greatest(F.col(c) - (n - 1), F.lit(0))
+    return matches(pairs, (n,), id_col).select(id_col, F.col("common")[0].alias("common"), grams("n_p").alias("n_prediction"), grams("n_r").alias("n_reference"))
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:
@@ -42,34 +68,34 @@ def rouge_recall(pairs: DataFrame, n: int) -> DataFrame:
 
 def bleu(pairs: DataFrame) -> DataFrame:
     """BLEU-4: geometric mean of clipped precisions, 0 if any is 0, times min(1, exp(1 - r / p))."""
-    out = None
-    for n in range(1, 5):
-        x = overlap(pairs, n).select("id", (F.col("common") / F.nullif(F.col("n_prediction"), F.lit(0))).alias(f"p{n}"), *([F.col("n_prediction").alias("p"), F.col("n_reference").alias("r")] if n == 1 else []))
-        out = x if out is None else out.join(x, "id")
-    ps = [F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, 5)]
+    x = matches(pairs, (1, 2, 3, 4)).withColumnsRenamed({"n_p": "p", "n_r": "r"})
+    ps = [F.coalesce(F.col("common")[n] / F.nullif(F.greatest(F.col("p") - n, F.lit(0)), F.lit(0)), F.lit(0.0)) for n in range(4)]
     score = F.when(F.least(*ps) > 0, F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("p"))) * F.exp(sum((F.log(p) for p in ps[1:]), F.log(ps[0])) / 4)).otherwise(0.0)
-    return out.select("id", F.round(score, 6).alias("bleu"))
+    return x.select("id", F.round(score, 6).alias("bleu"))
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    """ROUGE-L F-measure; the longest common subsequence is a table filled cell by cell, so it runs in Arrow batches."""
-    p, r = tokens(F.col("prediction")), tokens(F.col("reference"))
+    """ROUGE-L F-measure; a row of the table of common subsequences is the bits of one integer, so a long text costs a few additions a word."""
+    joined = lambda c: F.array_join(tokens(F.col(c)), " ")
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("array<bigint>")
     def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y) -> int:
-            last = [0] * (len(y) + 1)
-            for w in x:
-                here = [0]
-                for k, v in enumerate(y):
-                    here.append(last[k] + 1 if v == w else max(last[k + 1], here[k]))
-                last = here
-            return last[-1]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-    x = pairs.select("id", p.alias("p"), r.alias("r")).withColumn("l", lcs("p", "r"))
-    a, b = F.col("l") / F.nullif(F.size("p"), F.lit(0)), F.col("l") / F.nullif(F.size("r"), F.lit(0))
+        def one(p, r) -> list[int]:
+            p, r = p.split(" ") if p else [], r.split(" ") if r else []
+            at: dict[str, int] = {}
+            for k, w in enumerate(r):
+                at[w] = at.get(w, 0) | 1 << k
+            full = row = (1 << len(r)) - 1
+            for w in p:
+                if w in at:
+                    hit = row & at[w]
+                    row = (row + hit | row - hit) & full
+            return [len(p), len(r), len(r) - row.bit_count()]
+
+        return pd.Series([one(p, r) for p, r in zip(a, b)], dtype=object)
+
+    x = pairs.select("id", lcs(joined("prediction"), joined("reference")).alias("m"))
+    a, b = (F.col("m")[2] / F.nullif(F.col("m")[k], F.lit(0)) for k in (0, 1))
     return x.select("id", F.round(F.coalesce(2 * a * b / F.nullif(a + b, F.lit(0.0)), F.lit(0.0)), 6).alias("rouge_l"))
 
 
