@@ -155,6 +155,8 @@ query("n02_abbreviations", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_d
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents").where(r"text rlike '^[\\x00-\\x7f]*$' and octet_length(text) = length(text)"), "doc_id", "text"))
 query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
  SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: text.history_summary(table(s, d, "conversations")))
+query("n02_abbreviations_all", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,5}')))) AS abbr FROM documents) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
+    lambda s, d: text.abbreviation_mentions(table(s, d, "documents"), "doc_id", "text"))
 query("w08_session_titles", "SELECT conv_id, left(arg_min(text, turn), 30) AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.count("*").alias("n")))
 query("s09_html_text")(lambda s, d: table(s, d, "pages").select("page_id", load.html_title(F.col("html")).alias("title"), load.html_text(F.col("html")).alias("content")))
 query("s10_document_id", "SELECT page_id, md5(url) AS id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.encode("url", "UTF-8")).alias("id")))

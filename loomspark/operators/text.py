@@ -134,8 +134,8 @@ def dictionary_mentions(texts: DataFrame, dictionary: DataFrame, id_col: str, te
 
 
 def abbreviation_mentions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, abbr, start, confidence) of distinct words of 2 to 5 capitals; start is the first position."""
-    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)))
+    """(id, abbr, start, confidence) of distinct words of 2 to 5 capitals; start is the first position. Letters and digits of any script bound no word."""
+    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,5}(?![\p{L}\p{N}_])"), F.lit(0)))
     return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(found).alias("abbr")).select("id", "abbr", (F.instr(F.col("t"), F.col("abbr")) - 1).alias("start"), F.lit(0.9).alias("confidence"))
 
 

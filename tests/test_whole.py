@@ -1,12 +1,13 @@
 """Queries and operators do the whole job: nothing is cut, filtered or sampled on the way."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from loomspark import catalog
-from loomspark.operators import quality
+from loomspark.operators import quality, text
 
 
 def put(spark, folder, **tables):
@@ -51,3 +52,11 @@ def test_rouge_l_rows_equal_the_table(spark):
     for i, p, r in data:
         p, r = p.split(), r.split()
         assert got[i] == pytest.approx(2 * brute_lcs(p, r) / (len(p) + len(r)), abs=1e-6)
+
+
+def test_abbreviations_of_accented_texts(spark, tmp_path):
+    texts = ["Die EU und ÜBER die Straße, vgl. DIN.", "l'ÉTAT, la SNCF et l'UE", "plain HTN text", "USAñ ñEU EU_X EU2 NATO", "ABCDEF", ""]
+    d = put(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = sorted((r.id, r.abbr) for r in catalog.QUERIES["n02_abbreviations_all"](spark, d).collect())
+    assert got == sorted((i, a) for i, t in enumerate(texts) for a in set(re.findall(r"\b[A-Z]{2,5}\b", t)))
+    assert {a for _, a in got} == {"EU", "DIN", "SNCF", "UE", "HTN", "NATO"}
