@@ -141,7 +141,9 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 query("x11_fixed_windows", _CHUNKS + " SELECT chunk_id, document_id, chunk_index, md5(content) AS h FROM c")(lambda s, d: _chunks(s, d).select("chunk_id", "document_id", "chunk_index", F.md5(F.encode("content", "UTF-8")).alias("h")))
 query("a09_split_stats", _CHUNKS + " SELECT count(*) AS n, sum(length(content))::BIGINT AS total, round(avg(length(content)), 6) AS mean, min(length(content)) AS least, max(length(content)) AS most FROM c")(lambda s, d: text.split_stats(_chunks(s, d)))
-query("w01_chunk_context", _CHUNKS + " SELECT chunk_id, count(*) OVER w AS n_context, string_agg(substring(content, 1, 8), '|') OVER w AS context FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(lambda s, d: text.chunk_context(_chunks(s, d)))
+query("w01_chunk_context", _CHUNKS + " SELECT chunk_id, count(*) OVER w AS n_context, string_agg(substring(content, 1, 8), '|') OVER w AS context FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(lambda s, d: text.chunk_context(_chunks(s, d)).select("chunk_id", F.size("context").cast("bigint").alias("n_context"), F.array_join(F.transform("context", lambda c: F.substring(c.content, 1, 8)), "|").alias("context")))
+query("w01_chunk_context_all", _CHUNKS + " SELECT chunk_id, count(*) OVER w AS n_context, md5(string_agg(content, '|') OVER w) AS h FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(
+    lambda s, d: text.chunk_context(_chunks(s, d)).select("chunk_id", F.size("context").cast("bigint").alias("n_context"), F.md5(F.encode(F.array_join("context.content", "|"), "UTF-8")).alias("h")))
 query("j14_reconstruct", _CHUNKS + " SELECT document_id, count(*) AS n_chunks, md5(string_agg(content, '##' ORDER BY chunk_index)) AS h FROM c GROUP BY document_id")(
     lambda s, d: text.reconstruct(_chunks(s, d), "##").select("document_id", "n_chunks", F.md5(F.encode("content", "UTF-8")).alias("h")))
 query("j11_chunk_parent", _CHUNKS + " SELECT chunk_id, lang, source FROM c JOIN documents ON doc_id = document_id")(lambda s, d: _chunks(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source"), "document_id").select("chunk_id", "lang", "source"))
@@ -153,10 +155,10 @@ query("n01_dictionary_mentions", "WITH w AS (SELECT doc_id AS id, unnest(regexp_
     lambda s, d: text.dictionary_mentions(table(s, d, "documents"), s.createDataFrame([(w, "Word") for w in ("the", "and", "der", "les")], "name string, type string"), "doc_id", "text"))
 query("n02_abbreviations", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,5}\b'))) AS abbr FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents").where(r"text rlike '^[\\x00-\\x7f]*$' and octet_length(text) = length(text)"), "doc_id", "text"))
-query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
- SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: text.history_summary(table(s, d, "conversations")))
 query("n02_abbreviations_all", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,5}')))) AS abbr FROM documents) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents"), "doc_id", "text"))
+query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
+ SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: text.history_summary(table(s, d, "conversations")))
 query("w08_session_titles", "SELECT conv_id, left(arg_min(text, turn), 30) AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.count("*").alias("n")))
 query("s09_html_text")(lambda s, d: table(s, d, "pages").select("page_id", load.html_title(F.col("html")).alias("title"), load.html_text(F.col("html")).alias("content")))
 query("s10_document_id", "SELECT page_id, md5(url) AS id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.encode("url", "UTF-8")).alias("id")))

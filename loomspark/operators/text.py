@@ -115,9 +115,14 @@ def split_stats(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_context(chunks: DataFrame, k: int = 1) -> DataFrame:
-    """Each chunk with the first characters of its neighbours up to ``k`` away in its document."""
+    """(chunk_id, document_id, context): each chunk with its whole neighbours up to ``k`` away in its document, itself among them, in order.
+
+    ``context`` is an array of (chunk_index, chunk_id, content, is_target).
+    """
     w = Window.partitionBy("document_id").orderBy("chunk_index").rangeBetween(-k, k)
-    return chunks.select("chunk_id", F.count("*").over(w).alias("n_context"), F.array_join(F.collect_list(F.substring("content", 1, 8)).over(w), "|").alias("context"))
+    near = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content")).over(w))
+    x = chunks.select("chunk_id", "document_id", near.alias("near"))
+    return x.select("chunk_id", "document_id", F.transform("near", lambda c: F.struct(c.chunk_index, c.chunk_id, c.content, (c.chunk_id == F.col("chunk_id")).alias("is_target"))).alias("context"))
 
 
 def reconstruct(chunks: DataFrame, separator: str = "\n\n") -> DataFrame:

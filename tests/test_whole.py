@@ -60,3 +60,12 @@ def test_abbreviations_of_accented_texts(spark, tmp_path):
     got = sorted((r.id, r.abbr) for r in catalog.QUERIES["n02_abbreviations_all"](spark, d).collect())
     assert got == sorted((i, a) for i, t in enumerate(texts) for a in set(re.findall(r"\b[A-Z]{2,5}\b", t)))
     assert {a for _, a in got} == {"EU", "DIN", "SNCF", "UE", "HTN", "NATO"}
+
+
+def test_context_holds_whole_neighbours(spark):
+    chunks = spark.createDataFrame([(f"1_{k}", 1, k, f"{k}" * 500) for k in range(12)] + [("2_0", 2, 0, "alone " * 80)], "chunk_id string, document_id int, chunk_index int, content string")
+    got = {r.chunk_id: r.context for r in text.chunk_context(chunks).collect()}
+    assert [(c.chunk_index, c.content, c.is_target) for c in got["1_10"]] == [(k, f"{k}" * 500, k == 10) for k in (9, 10, 11)]
+    assert [c.content for c in got["2_0"]] == ["alone " * 80]
+    wide = {r.chunk_id: r.context for r in text.chunk_context(chunks, 2).collect()}
+    assert [c.chunk_index for c in wide["1_0"]] == [0, 1, 2]
