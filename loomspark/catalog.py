@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import fusion, graph, merge, quality, retrieval, rollup, text
@@ -158,9 +158,20 @@ query("n02_abbreviations", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_d
 query("n02_abbreviations_all", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,5}')))) AS abbr FROM documents) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents"), "doc_id", "text"))
 query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
- SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: text.history_summary(table(s, d, "conversations")))
+ SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: _history_counts(table(s, d, "conversations")))
+query("w06_history_all")(lambda s, d: text.history_summary(table(s, d, "conversations")).select("conv_id", "n_old", "n_pairs", F.size("kept").alias("n_kept"), F.md5(F.encode("summary", "UTF-8")).alias("summary"), F.md5(F.encode(F.to_json("kept"), "UTF-8")).alias("kept")))
 query("w08_session_titles", "SELECT conv_id, left(arg_min(text, turn), 30) AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.count("*").alias("n")))
 query("s09_html_text")(lambda s, d: table(s, d, "pages").select("page_id", load.html_title(F.col("html")).alias("title"), load.html_text(F.col("html")).alias("content")))
+
+
+def _history_counts(turns: DataFrame) -> DataFrame:
+    """The counts of the SQL of w06_history, which pairs an old user turn with a kept answer too."""
+    last, order = Window.partitionBy("conv_id").orderBy(F.desc("turn")), Window.partitionBy("conv_id").orderBy("turn")
+    x = turns.withColumn("back", F.row_number().over(last)).withColumn("next_role", F.lead("role").over(order))
+    old = F.col("back") > 4
+    return x.groupBy("conv_id").agg(F.count_if(old).alias("n_old"), F.count_if(old & (F.col("role") == "user") & (F.col("next_role") == "assistant")).alias("n_pairs"), F.count_if(~old).alias("n_kept"))
+
+
 query("s10_document_id", "SELECT page_id, md5(url) AS id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.encode("url", "UTF-8")).alias("id")))
 
 # --- fusion -----------------------------------------------------------------------------------------------------------
@@ -224,6 +235,7 @@ query("a14_p95", "WITH x AS (SELECT event_type, value, row_number() OVER (PARTIT
 _ERR = "SELECT left(md5(event_type || ':' || (user_id % 50)), 16) AS fingerprint, count(*) AS n, floor(epoch(min(ts)))::BIGINT AS first_seen, floor(epoch(max(ts)))::BIGINT AS last_seen FROM events WHERE event_type = 'error' GROUP BY 1"
 query("a19_error_rollup", _ERR)(lambda s, d: rollup.error_rollup(table(s, d, "events").where("event_type = 'error'").select(F.col("event_type").alias("type"), (F.col("user_id") % 50).cast("string").alias("message"), "ts", F.col("props").alias("stack"))).select("fingerprint", "n", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen")))
 query("a21_top_errors", _ERR.replace("GROUP BY 1", "GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5"))(lambda s, d: QUERIES["a19_error_rollup"](s, d).orderBy(F.desc("n"), "fingerprint").limit(5))
+query("s22_prometheus_all", f"WITH x AS ({ORACLES['a17_histogram']}) SELECT event_type || '_bucket{{le=\"' || le || '\"}} ' || n AS line FROM x")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value")))
 query("a20_error_sets", "SELECT event_type, user_id % 7 AS source, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())")(
     lambda s, d: s.sql("SELECT event_type, source, count(*) AS n FROM (SELECT event_type, user_id % 7 AS source FROM {e}) GROUP BY GROUPING SETS ((event_type), (source), ())", e=table(s, d, "events")))
 

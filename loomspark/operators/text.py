@@ -160,11 +160,22 @@ def non_overlapping(entities: DataFrame) -> DataFrame:
     return entities.groupBy("id").agg(row.alias("rows")).select("id", F.explode(kept).alias("e")).select("id", "e.name", "e.start", "e.end", (-F.col("e.c")).alias("confidence"))
 
 
-def history_summary(turns: DataFrame, keep: int = 4) -> DataFrame:
-    """(conv_id, n_old, n_pairs, n_kept): all but the last ``keep`` turns are summed up as user turns answered at once."""
-    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    x = turns.withColumn("back", F.row_number().over(last)).withColumn("next_role", F.lead("role").over(order))
-    old = F.col("back") > keep
-    pair = old & (F.col("role") == "user") & (F.col("next_role") == "assistant")
-    return x.groupBy("conv_id").agg(F.count_if(old).alias("n_old"), F.count_if(pair).alias("n_pairs"), F.count_if(~old).alias("n_kept"))
+def history_summary(turns: DataFrame, keep: int = 4, longest: int = 50) -> DataFrame:
+    """(conv_id, n_old, n_pairs, summary, kept): the last ``keep`` turns whole, and one text that sums up those before.
+
+    ``summary`` lists old user turns, each with the assistant turn right after it if that is old too, cut to ``longest`` characters;
+    null where there are none. ``kept`` is an array of (turn, role, text). Turns are ordered by turn, then role, then text.
+    """
+    by = ["turn", "role", "text"]
+    x = turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(*map(F.desc, by))))
+    order = Window.partitionBy("conv_id").orderBy(*by)
+    old, asks = F.col("back") > keep, (F.col("back") > keep) & (F.col("role") == "user")
+    answered = (F.col("back") > keep + 1) & F.equal_null(F.lead("role").over(order), F.lit("assistant"))
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, longest)
+    x = x.select("conv_id", *by, "back", (asks & answered).alias("pair"), cut(F.col("text")).alias("q"), F.when(answered, cut(F.lead("text").over(order))).otherwise("").alias("a"))
+    part = F.concat(F.lit("问: "), "q", F.when(F.col("a") != "", F.concat(F.lit("；答: "), "a")).otherwise(""))
+    parts = F.array_sort(F.collect_list(F.when(asks & (F.col("q") != ""), F.struct((-F.col("back")).alias("k"), part.alias("part")))))
+    kept = F.array_sort(F.collect_list(F.when(~old, F.struct((-F.col("back")).alias("k"), *by))))
+    out = x.groupBy("conv_id").agg(F.count_if(old).alias("n_old"), F.count_if("pair").alias("n_pairs"), parts.alias("parts"), kept.alias("kept"))
+    summary = F.when(F.size("parts") > 0, F.concat(F.lit("[对话摘要] "), F.array_join("parts.part", "；")))
+    return out.select("conv_id", "n_old", "n_pairs", summary.alias("summary"), F.transform("kept", lambda r: F.struct(r.turn, r.role, r.text)).alias("kept"))

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: nothing is cut, filtered or sampled on the way."""
 
+import datetime as dt
 import random
 import re
 from collections import Counter
@@ -7,7 +8,9 @@ from collections import Counter
 import pytest
 
 from loomspark import catalog
-from loomspark.operators import quality, text
+from loomspark.operators import graph, quality, rollup, text
+from loomspark.plans import model
+from loomspark.streaming import state
 
 
 def put(spark, folder, **tables):
@@ -69,3 +72,34 @@ def test_context_holds_whole_neighbours(spark):
     assert [c.content for c in got["2_0"]] == ["alone " * 80]
     wide = {r.chunk_id: r.context for r in text.chunk_context(chunks, 2).collect()}
     assert [c.chunk_index for c in wide["1_0"]] == [0, 1, 2]
+
+
+def brute_history(turns, keep=4, longest=50):
+    old, kept = turns[:-keep], turns[-keep:]
+    parts, pairs, i = [], 0, 0
+    while i < len(old):
+        role, said = old[i]
+        i += 1
+        if role != "user":
+            continue
+        answer = ""
+        if i < len(old) and old[i][0] == "assistant":
+            answer, pairs, i = old[i][1][:longest], pairs + 1, i + 1
+        if said:
+            parts += [f"问: {said[:longest]}"] + ([f"答: {answer}"] if answer else [])
+    return len(old), pairs, "[对话摘要] " + "；".join(parts) if parts else None, kept
+
+
+def test_history_is_summed_up_and_kept(spark):
+    rng = random.Random(3)
+    talks = {c: [(rng.choice(["user", "assistant", "system"]), rng.choice(["", "short", "long words " * 9])) for _ in range(rng.randrange(1, 14))] for c in range(60)}
+    talks[60] = [("user", "q"), ("assistant", "a"), ("user", "q2"), ("assistant", "kept"), ("user", "x"), ("assistant", "y"), ("user", "z")]
+    df = spark.createDataFrame([(c, k, *turn) for c, turns in talks.items() for k, turn in enumerate(turns)], "conv_id int, turn int, role string, text string")
+    got = {r.conv_id: (r.n_old, r.n_pairs, r.summary, [(k.role, k.text) for k in r.kept]) for r in text.history_summary(df).collect()}
+    assert got == {c: brute_history(turns) for c, turns in talks.items()}
+    assert got[60][1] == 1
+
+
+def test_prometheus_has_a_line_for_each_bucket(spark, sf_dir):
+    lines = [r.line for r in catalog.QUERIES["s22_prometheus_all"](spark, sf_dir).collect()]
+    assert len(lines) == len(set(lines)) == 5 * (len(rollup.BUCKETS) + 1)
