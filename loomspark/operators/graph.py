@@ -137,8 +137,8 @@ def contracted(graph: DataFrame, partition: DataFrame) -> DataFrame:
 
 def node_sizes(with_degree: DataFrame) -> DataFrame:
     """Display size 20 + log10(1 + 9 d / max d) * 40."""
-    top = F.max("degree").over(Window.partitionBy(F.lit(1)))
-    return with_degree.withColumn("size", F.round(20 + F.log10(1 + 9 * F.col("degree") / top) * 40, 6))
+    top = with_degree.agg(F.max("degree").alias("_top"))
+    return with_degree.join(F.broadcast(top)).withColumn("size", F.round(20 + F.log10(1 + 9 * F.col("degree") / F.col("_top")) * 40, 6)).drop("_top")
 
 
 def match_score(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -21,10 +21,25 @@ def summary(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def indexed_quantile(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
-    """sorted[min(int(n * q), n - 1)] of each group, by ranks: no group's values are gathered."""
-    w = Window.partitionBy(by)
-    x = df.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w.orderBy(value)).alias("_k"), F.count("*").over(w).alias("_n"))
-    return x.where(F.col("_k") == F.least(F.floor(F.col("_n") * q), F.col("_n") - 1) + 1).select(by, F.col(value).alias("quantile"))
+    """sorted[min(int(n * q), n - 1)] of each group: no group's values are gathered or sorted.
+
+    Values are counted in three ranges about an approximate quantile; only the range that holds the wanted rank is ranked, by its distinct
+    values. The approximation decides how much is ranked, never the result.
+    """
+    x = df.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("_v"))
+    near = F.percentile_approx("_v", [max(q - 0.001, 0.0), min(q + 0.001, 1.0)], F.lit(10000))
+    bounds = x.groupBy(F.col("_by").alias("_g")).agg(near.alias("_b"))
+    ranged = x.join(F.broadcast(bounds), F.equal_null("_by", "_g")).select("_by", "_v", F.when(F.col("_v") < F.col("_b")[0], 0).when(F.col("_v") <= F.col("_b")[1], 1).otherwise(2).alias("_r"))
+    counts = ranged.groupBy("_by").agg(*[F.count_if(F.col("_r") == k).alias(f"_n{k}") for k in range(3)])
+    n = F.col("_n0") + F.col("_n1") + F.col("_n2")
+    at = counts.withColumn("_k", F.least(F.floor(n * q), n - 1) + 1)
+    held = F.when(F.col("_k") <= F.col("_n0"), 0).when(F.col("_k") <= F.col("_n0") + F.col("_n1"), 1).otherwise(2)
+    before = F.when(held == 0, 0).when(held == 1, F.col("_n0")).otherwise(F.col("_n0") + F.col("_n1"))
+    at = at.select(F.col("_by").alias("_g"), held.alias("_held"), (F.col("_k") - before).alias("_k"))
+    few = ranged.join(F.broadcast(at), F.equal_null("_by", "_g") & (F.col("_r") == F.col("_held"))).groupBy("_by", "_v", "_k").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_by").orderBy("_v"))
+    found = few.select("_by", "_v", "_k", "_c", upto.alias("_upto")).where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
+    return found.select(F.col("_by").alias(by), F.col("_v").alias("quantile"))
 
 
 def fingerprint(kind: Column, message: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import Any
 
@@ -35,14 +36,21 @@ def rate_limit(requests: DataFrame, limit: int = 10, seconds: float = 60.0) -> D
 
 
 def rate_limit_batch(requests: DataFrame, limit: int = 10, seconds: float = 60.0) -> DataFrame:
-    """The same over a batch table of ``requests(key, ts)``; one key's requests are a group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        rows["allowed"] = decide([t.timestamp() for t in rows["ts"]], [], limit, seconds)[0]
-        return rows
-
-    return requests.select("key", "ts").groupBy("key").applyInPandas(run, "key string, ts timestamp, allowed boolean")
+    """The same over a batch table of ``requests(key, ts)``: sorted by key and time and read in Arrow batches, so a key of any size carries at most ``limit`` times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, recent = None, []
+        for rows in batches:
+            allowed = []
+            for key, times in itertools.groupby(zip(rows["key"], rows["ts"]), lambda r: r[0]):
+                if key != at:
+                    at, recent = key, []
+                found, recent = decide([t.timestamp() for _, t in times], recent, limit, seconds)
+                allowed += found
+            yield rows.assign(allowed=allowed)
+
+    dealt = requests.select("key", "ts").repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"))
+    return dealt.mapInPandas(run, "key string, ts timestamp, allowed boolean")
 
 
 def breaker_states(calls: DataFrame, failures: int = 20, seconds: float = 60.0, probes: int = 10) -> DataFrame:

@@ -103,3 +103,35 @@ def test_history_is_summed_up_and_kept(spark):
 def test_prometheus_has_a_line_for_each_bucket(spark, sf_dir):
     lines = [r.line for r in catalog.QUERIES["s22_prometheus_all"](spark, sf_dir).collect()]
     assert len(lines) == len(set(lines)) == 5 * (len(rollup.BUCKETS) + 1)
+
+
+def test_rate_limit_carries_over_batches(spark):
+    base, old = dt.datetime(2024, 1, 1), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    data = [("hot" if k % 3 else f"k{k % 5}", base + dt.timedelta(seconds=k)) for k in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = state.rate_limit_batch(spark.createDataFrame(data, "key string, ts timestamp"), 2, 60.0)
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    for key in {k for k, _ in data}:
+        times = sorted(t for k, t in data if k == key)
+        want += zip([key] * len(times), times, state.decide([t.timestamp() for t in times], [], 2, 60.0)[0])
+    assert got == sorted(want)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_quantiles_and_sizes_leave_no_single_task(spark):
+    rng = random.Random(4)
+    data = [(g, None if rng.random() < 0.1 else float(rng.choice([7, rng.randrange(1000)]))) for g in ("a", "b", None) for _ in range(500)] + [("one", 3.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r["quantile"] for r in rollup.indexed_quantile(df, "k", "v", q).collect()}
+        for g in ("a", "b", None, "one"):
+            values = sorted(v for k, v in data if k == g and v is not None)
+            assert got[g] == values[min(int(len(values) * q), len(values) - 1)]
+    nodes = spark.createDataFrame([("a", 3), ("b", 0)], "node_id string, degree bigint")
+    sized = graph.node_sizes(nodes)
+    assert {r.node_id: r["size"] for r in sized.collect()} == {"a": 60.0, "b": 20.0}
+    assert "Window" not in sized._jdf.queryExecution().toString()
