@@ -65,6 +65,7 @@ query("j05_multi_hop", WITH + _WALK.format("N3", 3) + " SELECT pt AS \"end\", la
 query("j06_related", WITH + _WALK.format("N2", 2) + " SELECT first_type, string_agg(e, ',' ORDER BY e) AS entities, count(*) AS n FROM (SELECT DISTINCT types[1] AS first_type, pt AS e FROM t WHERE pt <> start) GROUP BY first_type")(lambda s, d: graph.related(model.place_edges(s, d), seed(s, "N2")))
 query("j07_ego_network", WITH + _WALK.format("R2", 2) + " SELECT DISTINCT unnest(path) AS node_id FROM t")(lambda s, d: graph.ego_network(model.place_edges(s, d), seed(s, "R2"), 2)[0])
 query("j08_ego_union", WITH + " SELECT DISTINCT edge_id FROM place WHERE src IN ('N1', 'R3', 'C1') OR dst IN ('N1', 'R3', 'C1')")(lambda s, d: graph.ego_network(model.place_edges(s, d), seed(s, "N1", "R3", "C1"), 1)[1])
+query("j08_ego_union_all", WITH + " SELECT DISTINCT edge_id FROM edges WHERE src IN ('N1', 'R3', 'C1') OR dst IN ('N1', 'R3', 'C1')")(lambda s, d: graph.ego_network(model.edges(s, d), seed(s, "N1", "R3", "C1"), 1)[1])
 query("j09_node_detail", WITH + " SELECT node_id, label, name, (SELECT coalesce(string_agg(src, ',' ORDER BY src), '') FROM place WHERE dst = 'N4') AS incoming, (SELECT coalesce(string_agg(dst, ',' ORDER BY dst), '') FROM place WHERE src = 'N4') AS outgoing FROM nodes WHERE node_id = 'N4'")(
     lambda s, d: graph.node_detail(model.nodes(s, d), model.place_edges(s, d), "N4"))
 _DEG = ", ends AS (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges), deg AS (SELECT n.*, (CASE WHEN c IS NULL THEN 0 ELSE c END)::BIGINT AS degree FROM nodes n LEFT JOIN (SELECT node_id, count(*) AS c FROM ends GROUP BY 1) USING (node_id))"
@@ -95,7 +96,10 @@ query("g04_modularity", WITH + _PART + """, e AS (SELECT a.c AS cu, b.c AS cv FR
  dd AS (SELECT c, count(*) AS d FROM (SELECT cu AS c FROM e UNION ALL SELECT cv FROM e) GROUP BY c), l AS (SELECT cu AS c, count(*) AS l FROM e WHERE cu = cv GROUP BY cu)
  SELECT round(sum(coalesce(l, 0) / m - power(d / (2 * m), 2)), 6) AS modularity FROM dd LEFT JOIN l USING (c), m""")(
     lambda s, d: graph.modularity(graph.simple_graph(model.place_edges(s, d)), _by_letter(s, d)).select(F.round("modularity", 6).alias("modularity")))
-query("g02_communities")(lambda s, d: graph.communities(graph.simple_graph(model.place_edges(s, d))))
+query("g02_communities")(lambda s, d: graph.communities(graph.simple_graph(model.edges(s, d))))
+query("g03_contracted_all")(lambda s, d: graph.contracted(graph.simple_graph(model.edges(s, d)), QUERIES["g02_communities"](s, d)))
+query("g04_modularity_all")(lambda s, d: graph.modularity(graph.simple_graph(model.edges(s, d)), QUERIES["g02_communities"](s, d)).select(F.round("modularity", 6).alias("modularity")))
+query("a06_community_sizes_all")(lambda s, d: graph.community_sizes(QUERIES["g02_communities"](s, d), 3))
 query("g03_contracted", WITH + _PART + " SELECT least(a.c, b.c) AS u, greatest(a.c, b.c) AS v, count(*) AS weight FROM g JOIN p a ON a.node = u JOIN p b ON b.node = v WHERE a.c <> b.c GROUP BY 1, 2")(
     lambda s, d: graph.contracted(graph.simple_graph(model.place_edges(s, d)), _by_letter(s, d)))
 query("a06_community_sizes", WITH + " SELECT left(node_id, 1) AS community, count(*) AS size FROM nodes GROUP BY 1 ORDER BY size DESC, community LIMIT 3")(lambda s, d: graph.community_sizes(_by_letter(s, d), 3))
@@ -157,11 +161,6 @@ query("n02_abbreviations", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_d
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents").where(r"text rlike '^[\\x00-\\x7f]*$' and octet_length(text) = length(text)"), "doc_id", "text"))
 query("n02_abbreviations_all", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,5}')))) AS abbr FROM documents) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents"), "doc_id", "text"))
-query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
- SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: _history_counts(table(s, d, "conversations")))
-query("w06_history_all")(lambda s, d: text.history_summary(table(s, d, "conversations")).select("conv_id", "n_old", "n_pairs", F.size("kept").alias("n_kept"), F.md5(F.encode("summary", "UTF-8")).alias("summary"), F.md5(F.encode(F.to_json("kept"), "UTF-8")).alias("kept")))
-query("w08_session_titles", "SELECT conv_id, left(arg_min(text, turn), 30) AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.count("*").alias("n")))
-query("s09_html_text")(lambda s, d: table(s, d, "pages").select("page_id", load.html_title(F.col("html")).alias("title"), load.html_text(F.col("html")).alias("content")))
 
 
 def _history_counts(turns: DataFrame) -> DataFrame:
@@ -172,6 +171,11 @@ def _history_counts(turns: DataFrame) -> DataFrame:
     return x.groupBy("conv_id").agg(F.count_if(old).alias("n_old"), F.count_if(old & (F.col("role") == "user") & (F.col("next_role") == "assistant")).alias("n_pairs"), F.count_if(~old).alias("n_kept"))
 
 
+query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
+ SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: _history_counts(table(s, d, "conversations")))
+query("w06_history_all")(lambda s, d: text.history_summary(table(s, d, "conversations")).select("conv_id", "n_old", "n_pairs", F.size("kept").alias("n_kept"), F.md5(F.encode("summary", "UTF-8")).alias("summary"), F.md5(F.encode(F.to_json("kept"), "UTF-8")).alias("kept")))
+query("w08_session_titles", "SELECT conv_id, left(arg_min(text, turn), 30) AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.count("*").alias("n")))
+query("s09_html_text")(lambda s, d: table(s, d, "pages").select("page_id", load.html_title(F.col("html")).alias("title"), load.html_text(F.col("html")).alias("content")))
 query("s10_document_id", "SELECT page_id, md5(url) AS id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.encode("url", "UTF-8")).alias("id")))
 
 # --- fusion -----------------------------------------------------------------------------------------------------------
@@ -231,11 +235,11 @@ query("e12_thresholds", "SELECT event_type AS metric, round(avg(value), 6) AS va
 query("a16_metric_summary", "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")(lambda s, d: rollup.summary(table(s, d, "events"), "event_type", "value"))
 query("a17_histogram", "WITH b AS (SELECT unnest([" + ", ".join(f"'{b}'" for b in rollup.BUCKETS) + ", 'Inf']) AS le) SELECT event_type, le, count(*) FILTER (WHERE value IS NOT NULL AND (le = 'Inf' OR value <= try_cast(le AS DOUBLE))) AS n FROM events, b GROUP BY 1, 2")(lambda s, d: rollup.histogram(table(s, d, "events"), "event_type", "value"))
 query("s22_prometheus", "SELECT event_type || '_bucket{le=\"5\"} ' || count(*) FILTER (WHERE value <= 5) AS line FROM events GROUP BY event_type")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value").where("le = '5'")))
+query("s22_prometheus_all", f"WITH x AS ({ORACLES['a17_histogram']}) SELECT event_type || '_bucket{{le=\"' || le || '\"}} ' || n AS line FROM x")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value")))
 query("a14_p95", "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value AS quantile FROM x WHERE k = least(floor(n * 0.95), n - 1) + 1")(lambda s, d: rollup.indexed_quantile(table(s, d, "events"), "event_type", "value", 0.95))
 _ERR = "SELECT left(md5(event_type || ':' || (user_id % 50)), 16) AS fingerprint, count(*) AS n, floor(epoch(min(ts)))::BIGINT AS first_seen, floor(epoch(max(ts)))::BIGINT AS last_seen FROM events WHERE event_type = 'error' GROUP BY 1"
 query("a19_error_rollup", _ERR)(lambda s, d: rollup.error_rollup(table(s, d, "events").where("event_type = 'error'").select(F.col("event_type").alias("type"), (F.col("user_id") % 50).cast("string").alias("message"), "ts", F.col("props").alias("stack"))).select("fingerprint", "n", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen")))
 query("a21_top_errors", _ERR.replace("GROUP BY 1", "GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5"))(lambda s, d: QUERIES["a19_error_rollup"](s, d).orderBy(F.desc("n"), "fingerprint").limit(5))
-query("s22_prometheus_all", f"WITH x AS ({ORACLES['a17_histogram']}) SELECT event_type || '_bucket{{le=\"' || le || '\"}} ' || n AS line FROM x")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value")))
 query("a20_error_sets", "SELECT event_type, user_id % 7 AS source, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())")(
     lambda s, d: s.sql("SELECT event_type, source, count(*) AS n FROM (SELECT event_type, user_id % 7 AS source FROM {e}) GROUP BY GROUPING SETS ((event_type), (source), ())", e=table(s, d, "events")))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -104,23 +106,34 @@ def modularity(graph: DataFrame, partition: DataFrame) -> DataFrame:
     return x.agg(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def communities(graph: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) by synchronous label spreading: the heaviest label among a node and its neighbours, ties to the least.
+def communities(graph: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, community) by label spreading to a fixed point: no label weighs more among a node's neighbours than its own.
 
-    Labels are pre-summed by (node, label) before the choice, so a hub's neighbours are never gathered in one row.
+    In each round the nodes of one half, drawn anew by hash, go over to the heaviest label around them if it beats their own, ties to the least.
+    Halves keep neighbours from swapping labels for ever. RuntimeError if ``rounds`` don't settle it. Labels are pre-summed by
+    (node, label) before the choice, so a hub's neighbours are never gathered in one row.
     """
-    both = graph.select("u", "v", "weight").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    both = both.unionByName(both.select("u").distinct().select("u", F.col("u").alias("v"), F.lit(1).cast("bigint").alias("weight")))
+    both = _cut(graph.select("u", "v", "weight").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("u").alias("node")).agg(F.max_by(F.col("community"), F.struct(F.col("w"), _backwards(F.col("community")))).alias("community"))
-    return labels
-
-
-def _backwards(text: Column) -> Column:
-    """Sorts texts of letters and digits in reverse."""
-    return F.translate(F.rpad(text, 24, " "), " 0123456789CNPRS", "PONMLKJIHGFEDCBA")
+        mine = votes.join(labels.select(F.col("node").alias("u"), F.col("community").alias("own")), "u")
+        best = mine.groupBy(F.col("u").alias("node"), "own").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0)).alias("held"))
+        wants = best.select("node", "own", F.col("best.community").alias("next"), (-F.col("best.w") > F.col("held")).alias("wants"))
+        moves = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
+        state = _cut(wants.select("node", F.when(moves, F.col("next")).otherwise(F.col("own")).alias("community"), "wants"))
+        labels = state.select("node", "community")
+        if state.where("wants").isEmpty():
+            return labels
+    raise RuntimeError(f"communities have not settled after {rounds} rounds")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written in the checkpoint folder, where its lineage ends."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
+    return df.checkpoint()
 
 
 def community_sizes(partition: DataFrame, limit: int | None = None) -> DataFrame:

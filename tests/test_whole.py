@@ -105,6 +105,33 @@ def test_prometheus_has_a_line_for_each_bucket(spark, sf_dir):
     assert len(lines) == len(set(lines)) == 5 * (len(rollup.BUCKETS) + 1)
 
 
+def test_communities_settle(spark):
+    pairs = [(f"p{k:02}", f"p{k + 1:02}") for k in range(40)] + [(f"x{a}", f"y{b}") for a in range(3) for b in range(3)]
+    g = spark.createDataFrame([(*sorted(p), 1) for p in pairs], "u string, v string, weight bigint")
+    label = {r.node: r.community for r in graph.communities(g).collect()}
+    assert set(label) == {n for p in pairs for n in p}
+    for n in label:
+        votes = Counter(label[b if a == n else a] for a, b in pairs if n in (a, b))
+        assert votes[label[n]] == max(votes.values())
+    with pytest.raises(RuntimeError):
+        graph.communities(g, rounds=1)
+
+
+def test_detected_communities_of_all_edges(spark, sf_dir):
+    parts = catalog.QUERIES["g02_communities"](spark, sf_dir).cache()
+    g = graph.simple_graph(model.edges(spark, sf_dir)).cache()
+    label = {r.node: r.community for r in parts.collect()}
+    edges = g.collect()
+    assert set(label) == {n for e in edges for n in (e.u, e.v)} and any(n[0] == "P" for n in label)
+    cross = Counter()
+    for e in edges:
+        if label[e.u] != label[e.v]:
+            cross[tuple(sorted((label[e.u], label[e.v])))] += e.weight
+    assert {(r.u, r.v): r.weight for r in catalog.QUERIES["g03_contracted_all"](spark, sf_dir).collect()} == cross
+    sizes = Counter(label.values())
+    assert [(r.community, r["size"]) for r in catalog.QUERIES["a06_community_sizes_all"](spark, sf_dir).collect()] == sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[:3]
+
+
 def test_rate_limit_carries_over_batches(spark):
     base, old = dt.datetime(2024, 1, 1), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     data = [("hot" if k % 3 else f"k{k % 5}", base + dt.timedelta(seconds=k)) for k in range(600)]
