@@ -109,22 +109,25 @@ def modularity(graph: DataFrame, partition: DataFrame) -> DataFrame:
 def communities(graph: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, community) by label spreading to a fixed point: no label weighs more among a node's neighbours than its own.
 
-    In each round the nodes of one half, drawn anew by hash, go over to the heaviest label around them if it beats their own, ties to the least.
-    Halves keep neighbours from swapping labels for ever. RuntimeError if ``rounds`` don't settle it. Labels are pre-summed by
+    In each round the nodes of one part, drawn anew by hash, go over to the heaviest label around them if it beats their own, ties to the least.
+    A part is a quarter, so that two sides of a graph don't swap labels for ever, and half once few nodes want to move. RuntimeError if ``rounds`` don't settle it. Labels are pre-summed by
     (node, label) before the choice, so a hub's neighbours are never gathered in one row.
     """
     both = _cut(graph.select("u", "v", "weight").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
+    parts = 4
     for k in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
         mine = votes.join(labels.select(F.col("node").alias("u"), F.col("community").alias("own")), "u")
         best = mine.groupBy(F.col("u").alias("node"), "own").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0)).alias("held"))
         wants = best.select("node", "own", F.col("best.community").alias("next"), (-F.col("best.w") > F.col("held")).alias("wants"))
-        moves = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
+        moves = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(parts)) == 0)
         state = _cut(wants.select("node", F.when(moves, F.col("next")).otherwise(F.col("own")).alias("community"), "wants"))
         labels = state.select("node", "community")
-        if state.where("wants").isEmpty():
+        nodes, wanting = state.agg(F.count("*"), F.count_if("wants")).first()
+        if not wanting:
             return labels
+        parts = 2 if wanting * 16 < nodes else 4
     raise RuntimeError(f"communities have not settled after {rounds} rounds")
 
 
