@@ -29,10 +29,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import _BASE, WORD_BASES, components, lists, mix, text_blocks, window_hashes, word_hashes, written
+from loomspark.llm.common import _BASE, WORD_BASES, components, dropped, lists, mix, partitions_for, text_blocks, window_hashes, word_hashes, written
 
 _U = np.uint64
 
@@ -187,13 +187,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("same"), (F.size("x") + F.size("y")).alias("both")).where(f"{den} * same >= {num} * (both - same)").select("a", "b").distinct()
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """A table of ``keyed(key, id, n)`` for the keys that two ids or more hold, with low and high (their least and greatest id) and members.
+
+    Keys are counted alone before rows meet them, so a key that very many hold is one row of the counts, and the joins with it
+    are split by adaptive execution where they are skewed. Each step is a table, so the shuffle before it can go.
+    """
+    twice = written(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "twice")
+    rows = written(keyed.join(twice, "key"), "rows")
+    sums = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("low <> high")
+    posts = written(rows.join(sums, "key"), "posts")
+    dropped(twice, rows)
+    return posts
+
+
 def _linked(posts: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, hot_members: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, common keys): links enough to connect all that share a key and reach the threshold.
 
     Each holder of a key is compared with the least one; then, per key, those in different components with one another.
     Keys of more than ``hot_members`` components are given back instead of compared in the second step.
     """
-    by_key = Window.partitionBy("key")
     low, high = sizes.select(F.col("id").alias("a"), F.col("least_n").alias("a0"), F.col("most_n").alias("a1")), sizes.select(F.col("id").alias("b"), F.col("least_n").alias("b0"), F.col("most_n").alias("b1"))
     fits = f"{den} * b1 >= {num} * a0 and {den} * a1 >= {num} * b0"  # a repeated id may have more sizes than one
     star = posts.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct().join(high, "b").join(low, "a").where(fits).select("a", "b")
@@ -203,14 +216,16 @@ def _linked(posts: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den:
     placed = posts.where("members > 2").select("key", "id", "n").join(at, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("c"))
     counted = placed.groupBy("key").agg(F.countDistinct("c").alias("parts")).where("parts > 1")
     counted = written(placed.join(counted, "key"), "loose")
-    wide = counted.where(F.col("parts") > hot_members).select("key").distinct()
+    wide = written(counted.where(F.col("parts") > hot_members).select("key").distinct(), "wide")
     loose = counted.where(F.col("parts") <= hot_members)
     a = loose.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     b = loose.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     near = f"a < b and ca <> cb and {den} * least(na, nb) >= {num} * greatest(na, nb)"
     rest = a.join(b, "key").where(near).select("a", "b").distinct()
     second = _verified(rest.join(star, ["a", "b"], "left_anti"), sets, num, den)
-    return written(first.unionByName(second), "links"), wide
+    links = written(first.unionByName(second), "links")
+    dropped(first, at, counted)
+    return links, wide
 
 
 def _tile(num: int, den: int):
@@ -250,63 +265,72 @@ def _tile(num: int, den: int):
     return run
 
 
-def _tiled(families: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int = 1024, block_elements: int = 200_000) -> DataFrame:
+def _tiled(families: DataFrame, sets: DataFrame, num: int, den: int, broadcast_rows: int, block_rows: int = 1024, block_elements: int = 200_000) -> DataFrame:
     """Links that connect the similar sets of each family, compared block by block; a block is bounded in sets and elements."""
     members = sets.join(families.select("id", F.col("component_id").alias("family")), "id")
     sized = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.size("shingles")) / block_elements)).cast("int").alias("blocks"))
-    dealt = members.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sized = written(sized, "families")
+    few = sized.count() <= broadcast_rows
+    dealt = members.join(F.broadcast(sized) if few else sized, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = dealt.select("family", "id", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("family", "id", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return tiles.groupBy("family", "i", "j").applyInArrow(_tile(num, den), "a bigint, b bigint").where("a <> b").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, hot_members: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
-    """(id_col, n_shingles, component_id) of every row of ``docs``: documents link when intersection / union >= num / den.
-
-    Words are runs of characters other than ASCII white space, with A-Z lower-cased. A text of fewer than ``width`` words
-    is one shingle; a null or blank text has none and links with nothing. Rows with the same id are one node: each row is
-    returned, and a link of one is a link of all. A row without an id is returned with a null component. Other columns of
-    ``docs`` are not read. An empty table gives an empty one. ``hot_members`` and ``broadcast_rows`` steer the cost alone.
-    """
-    schema = "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"
-    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(plain.mapInArrow(_signatures(width, num, den), schema), "signatures")
-    meta = signed.select("id", "n", "s1", "s2")
-
-    # equal sets: one of them stands for all
-    reps = meta.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copies = written(meta.where("id is not null").join(reps.where("rep <> last"), ["n", "s1", "s2"]).select("id", "rep").where("id <> rep").distinct(), "copies")
-
-    # keys that two sets or more share
-    by_key = Window.partitionBy("key")
-    shared = (
-        signed.where("id is not null").select("id", "n", F.explode("keys").alias("key"))
-        .select("*", F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high")).where("low <> high").select("key", "id", "n")
-    )
-    shared = shared.join(copies, "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "n").distinct()
-    posts = written(shared.select("*", F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high"), F.count("*").over(by_key).alias("members")).where("low <> high"), "posts")
-
+def _joined(plain: DataFrame, posts: DataFrame, copies: DataFrame, width: int, num: int, den: int, hot_members: int, broadcast_rows: int) -> DataFrame:
+    """A table (id, component_id) of the documents that share a key and reach the threshold, directly or through others, and of copies."""
     wanted = posts.select("id").distinct()
     sets = written(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id bigint, shingles array<bigint>"), "sets")
 
-    sizes = posts.groupBy("id").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    sizes = written(posts.groupBy("id").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")), "sizes")
     links, wide = _linked(posts, sets, sizes, num, den, hot_members)
     affected = written(posts.join(wide, "key").select("id", "key"), "affected")
+    dropped(posts, wide)
     if affected.limit(1).count():
         # the elements behind the common keys, as one of their holders has them, become a segment of their own
         told = affected.groupBy("key").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("key").alias("told"))
         hot = written(sets.join(told, "id").select("shingles", "told").mapInArrow(_elements(num, den), "element bigint").distinct(), "hot")
         few = hot.count() <= broadcast_rows
-        again = sets.join(affected.select("id").distinct(), "id", "left_semi").select("id", "shingles")
+        again = written(sets.join(affected.select("id").distinct(), "id", "left_semi").select("id", "shingles"), "again")
         own = again.select("id", F.explode("shingles").alias("element")).join(F.broadcast(hot) if few else hot, "element").groupBy("id").agg(F.collect_set("element").alias("hot"))
         keys = again.join(own, "id", "left").select("id", "shingles", "hot").mapInArrow(_cold_keys(num, den), "id bigint, keys array<bigint>")
         cold = keys.select("id", F.explode("keys").alias("key")).distinct().join(sizes.select("id", F.col("most_n").alias("n")), "id")
-        cold = written(cold.select("key", "id", "n", F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high"), F.count("*").over(by_key).alias("members")).where("low <> high"), "posts")
-        links, wide = _linked(cold, sets, sizes, num, den, hot_members, links)
+        cold = written(cold.select("key", "id", "n"), "cold")
+        posts = _shared(cold)
+        dropped(hot, again, cold)
+        before = links
+        links, wide = _linked(posts, sets, sizes, num, den, hot_members, links)
         # what is still common is a family of alike but not similar sets, such as far copies of one text
-        families = components(cold.join(wide, "key").select(F.col("low").alias("a"), F.col("id").alias("b")))
-        links = links.unionByName(_tiled(families, sets, num, den)).distinct()
+        families = components(posts.join(wide, "key").select(F.col("low").alias("a"), F.col("id").alias("b")))
+        links = links.unionByName(_tiled(families, sets, num, den, broadcast_rows)).distinct()
+        dropped(before)
+
+    joined = written(components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))), "components")
+    dropped(affected, sets, sizes, posts, copies)
+    return joined
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, hot_members: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
+    """(id_col, n_shingles, component_id) of every row of ``docs``: documents link when intersection / union >= num / den.
+
+    Words are runs of characters other than ASCII white space, with A-Z lower-cased. A text of fewer than ``width`` words
+    is one shingle; a null or blank text has none and links with nothing. Rows with the same id are one node: each row is
+    returned, and a link of one is a link of all. A row without an id is returned with a null component. Other columns of
+    ``docs`` are not read. An empty table gives an empty one. ``hot_members`` and ``broadcast_rows`` steer the cost alone.
+    """
+    schema = "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = written(plain.mapInArrow(_signatures(width, num, den), schema), "signatures")
+    meta = written(signed.select("id", "n", "s1", "s2"), "sizes")  # apart, so that the keys can go
 
-    equal = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(links.unionByName(equal))
-    return meta.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # equal sets: one of them stands for all
+    equal = ["n", "s1", "s2"]
+    reps = meta.where("n > 0 and id is not null").groupBy(*equal).agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    copies = written(meta.where("id is not null").join(reps.where("rep <> last"), equal).where("id <> rep").select("id", *equal, "rep").distinct(), "copies")
+
+    keyed = signed.where("id is not null").join(copies, ["id", *equal], "left_anti").select(F.explode("keys").alias("key"), "id", "n")
+    posts = _shared(keyed)
+    dropped(signed)
+    with partitions_for(docs.sparkSession, posts.count()):
+        joined = _joined(plain, posts, copies, width, num, den, hot_members, broadcast_rows)
+    return meta.join(joined, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
