@@ -2,13 +2,15 @@
 
 1. Anchors: of the phrases (PHRASE words) within each window of ``width`` words, the one of least hash. Equal windows have
    equal anchors, so only windows whose anchor occurs twice in the corpus can recur; the others go no further.
-2. Confirmation: documents are dealt to shards of bounded size by their id. Each shard sends the hashes of its distinct
+2. Confirmation: documents are dealt to shards of bounded size. Each shard sends the 128-bit hashes of its distinct
    windows with such an anchor, with a count and one place; those whose counts sum to two or more recur.
-3. Location: each shard compiles a pyahocorasick automaton. Its patterns are phrases cut at every STRIDE words from the
-   recurring passages at those places, so that every recurring window contains one. All documents of the shard stream
-   through it, and the windows around each hit are held against the recurring ones; what they cover is removed.
+3. Location: the recurring windows of a shard's documents form its confirmed passages. Phrases cut from them at every STRIDE
+   words, so that each window holds one, are compiled into a pyahocorasick automaton, and all documents of the shard stream
+   through it. Each hit is held against the passage it was cut from and grows to both sides while the words are equal;
+   what has ``width`` words or more is an occurrence and is removed.
 
-Rows gathered in one task are those of a shard; a window common to very many documents is one row a shard.
+A phrase goes to the shards that have a document with it and to no other, so the corpus streams once, not once for each
+automaton. Rows gathered in one task are those of a shard; a window common to very many documents is one row a shard.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD_BASES, lists, text_blocks, window_hashes, word_hashes, words_of, written
+from loomspark.llm.common import WORD_BASES, lists, mix, text_blocks, window_hashes, word_hashes, written
 
 PHRASE = 8
 CUT = 12
+#: A phrase cut from more passages than this finds the one to be held against by the hash of the window around the hit.
+FEW = 8
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -55,13 +59,13 @@ def _sorted_docs(docs: pa.Table) -> pa.Table:
 def _windows(width: int):
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         hot = np.sort(anchors.column("anchor").to_numpy().view(np.uint64))
-        hashes, places, shard = [], [], None
+        hashes, checks, places, shard = [], [], [], None
         if docs.num_rows and len(hot):
             shard = docs.column("shard")[0].as_py()
             docs = _sorted_docs(docs.select(["shard", "row", "text"]))
             for lo, _, data, offsets in text_blocks(docs.column("text")):
                 words, rows = word_hashes(data, offsets)
-                phrases, full = window_hashes(words, PHRASE), window_hashes(words, width)
+                phrases, full, check = window_hashes(words, PHRASE), window_hashes(words, width), window_hashes(words, width, WORD_BASES[1])
                 for k, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
                     if b - a < width:
                         continue
@@ -70,13 +74,16 @@ def _windows(width: int):
                     at = np.searchsorted(hot, least)
                     starts = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == least)
                     hashes.append(full[a + starts])
+                    checks.append(check[a + starts])
                     places.append((lo + k << 32) + starts)
-        if hashes:
-            values, first, count = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            at = np.concatenate(places)[first]
-        else:
-            values, at, count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return pa.table({"window": values.view(np.int64), "shard": pa.array(np.full(len(values), -1 if shard is None else shard, np.int32)), "place": at.astype(np.int64), "n": np.minimum(count, 2).astype(np.int32)})
+        if not hashes:
+            return pa.table({"window": pa.array([], pa.int64()), "check": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "place": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
+        values, check, at = np.concatenate(hashes), np.concatenate(checks), np.concatenate(places)
+        order = np.lexsort((check, values))
+        values, check = values[order], check[order]
+        first = np.flatnonzero(np.concatenate([[len(values) > 0], (values[1:] != values[:-1]) | (check[1:] != check[:-1])]))
+        count = np.diff(np.append(first, len(values)))
+        return pa.table({"window": values[first].view(np.int64), "check": check[first].view(np.int64), "shard": pa.array(np.full(len(first), shard, np.int32)), "place": at[order][first].astype(np.int64), "n": np.minimum(count, 2).astype(np.int32)})
 
     return run
 
@@ -90,57 +97,96 @@ def _runs(places: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(part[0] >> 32), int(part[0] & 0xFFFFFFFF), int(part[-1] & 0xFFFFFFFF)
 
 
-def _automaton(words: list[list[bytes]], places: np.ndarray, width: int):
-    """Of phrases of CUT words such that each window of the passages at ``places`` holds one of them."""
-    stride, out = width - CUT + 1, ahocorasick.Automaton()
-    for row, first, last in _runs(places):
-        own = words[row]
-        for at in range(first, last + width - CUT + 1, stride):
-            out.add_word(b" ".join([b"", *own[at : at + CUT], b""]).decode(), CUT)
-    out.make_automaton()
-    return out
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words the two begin with alike."""
+    n, step = 0, 64
+    while n < len(a):
+        unlike = np.flatnonzero(a[n : n + step] != b[n : n + step])
+        if len(unlike):
+            return n + int(unlike[0])
+        n, step = n + step, step * 4
+    return len(a)
+
+
+class _Passages:
+    """The confirmed passages of a shard, given by the places of their windows, and the automaton of their phrases."""
+
+    def __init__(self, words: list[list[bytes]], places: np.ndarray, width: int):
+        numbers: dict[bytes, int] = {}
+        self.words, self.width = words, width
+        self.offsets = np.concatenate([[0], np.cumsum([len(own) for own in words])])
+        self.numbers = np.fromiter((numbers.setdefault(w, len(numbers)) for own in words for w in own), np.int64, int(self.offsets[-1]))
+        self.places = np.sort(self.offsets[places >> 32] + (places & 0xFFFFFFFF))
+        self.spots: list[list[tuple[int, int, int]]] = []  # of each phrase: its place in a passage, the passage's begin and end
+        self.automaton, self.known = ahocorasick.Automaton(), None
+        phrases: dict[str, int] = {}
+        for row, first, last in _runs(places):
+            own, base = words[row], int(self.offsets[row])
+            for at in range(first, last + width - CUT + 1, width - CUT + 1):
+                k = phrases.setdefault(b" ".join([b"", *own[at : at + CUT], b""]).decode(), len(phrases))
+                if k == len(self.spots):
+                    self.spots.append([])
+                self.spots[k].append((base + at, base + first, base + last + width))
+        for phrase, k in phrases.items():
+            self.automaton.add_word(phrase, k)
+        self.automaton.make_automaton()
+
+    def _by_window(self, starts: np.ndarray) -> np.ndarray:
+        """Those of ``starts`` whose windows are passages' windows: found by hash, held against one another by words."""
+        if self.known is None:
+            hashes = window_hashes(mix(self.numbers.astype(np.uint64)), self.width)
+            order = np.argsort(hashes[self.places])
+            self.known = hashes, hashes[self.places][order], self.places[order]
+        hashes, known, places = self.known
+        at = np.minimum(np.searchsorted(known, hashes[starts]), len(known) - 1)
+        span = np.arange(self.width)
+        same = [(self.numbers[starts[k : k + 4096, None] + span] == self.numbers[places[at[k : k + 4096], None] + span]).all(1) for k in range(0, len(starts), 4096)]
+        return starts[np.concatenate(same)] if same else starts
+
+    def removed(self, row: int) -> np.ndarray | None:
+        """Which words of a document occur in recurring windows; None if none does."""
+        own, begin, end = self.words[row], int(self.offsets[row]), int(self.offsets[row + 1])
+        if len(own) < self.width:
+            return None
+        stream = b" ".join([b"", *own, b""]).decode()
+        hits = list(self.automaton.iter(stream))
+        if not hits:
+            return None
+        spaces = np.flatnonzero(np.frombuffer(stream.encode("utf-32-le"), np.uint32) == 32)  # a word begins after each; the last ends the text
+        first = (np.searchsorted(spaces, [at for at, _ in hits]) - CUT + begin).tolist()  # the first word of each hit
+        edges, done, crowded, x = np.zeros(len(own) + 1, np.int64), {}, [], self.numbers
+        for f, (_, k) in zip(first, hits):
+            if len(self.spots[k]) > FEW:
+                crowded.append(f)
+                continue
+            for at, low, high in self.spots[k]:
+                if f < done.get((at - f, low), -1):
+                    continue  # within what an earlier hit grew to
+                back, on = min(f - begin, at - low), min(end - f, high - at)
+                left, right = _common(x[f - back : f][::-1], x[at - back : at][::-1]), _common(x[f : f + on], x[at : at + on])
+                done[at - f, low] = f + right
+                if left + right >= self.width:
+                    edges[f - left - begin] += 1
+                    edges[f + right - begin] -= 1
+        if crowded:
+            near = np.unique(np.array(crowded)[:, None] - np.arange(self.width - CUT + 1))
+            starts = self._by_window(near[(near >= begin) & (near + self.width <= end)])
+            np.add.at(edges, starts - begin, 1)
+            np.add.at(edges, starts - begin + self.width, -1)
+        gone = np.cumsum(edges[:-1]) > 0
+        return gone if gone.any() else None
 
 
 def _removed(width: int):
     def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
         docs = _sorted_docs(docs)
-        texts = docs.column("text").to_pylist()
-        words = [(x or "").encode().split() for x in texts]
+        words = [(x or "").encode().split() for x in docs.column("text").to_pylist()]
         gone = [None] * len(words)
         if windows.num_rows:
-            places = np.sort(windows.column("place").to_numpy())
-            automaton = _automaton(words, places, width)
-            blocks = [(lo, hi, *word_hashes(data, offsets)) for lo, hi, data, offsets in text_blocks(docs.column("text"))]
-            # the recurring windows' hashes are taken anew at their places, so only places were sent
-            known = []
-            for lo, hi, hashes, rows in blocks:
-                own = places[slice(*np.searchsorted(places, [lo << 32, hi << 32]))]
-                known.append(window_hashes(hashes, width)[rows[(own >> 32) - lo] + (own & 0xFFFFFFFF)] if len(own) else np.zeros(0, np.uint64))
-            known = np.sort(np.concatenate(known))
-            for lo, hi, hashes, rows in blocks:
-                for k in range(lo, hi):
-                    own = words[k]
-                    if len(own) < width:
-                        continue
-                    stream = b" ".join([b"", *own, b""]).decode()
-                    hits = [end for end, _ in automaton.iter(stream)]
-                    if not hits:
-                        continue
-                    spaces = np.flatnonzero(np.frombuffer(stream.encode("utf-32-le"), np.uint32) == 32)  # a word begins after each; the last ends the text
-                    first = np.searchsorted(spaces, hits) - CUT  # the first word of each hit
-                    near = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(near, np.maximum(first - (width - CUT), 0), 1)
-                    np.add.at(near, np.minimum(first + 1, len(own)), -1)
-                    starts = np.flatnonzero(np.cumsum(near[: len(own) - width + 1]) > 0)
-                    full = window_hashes(hashes[rows[k - lo] : rows[k - lo + 1]], width)[starts]
-                    at = np.minimum(np.searchsorted(known, full), len(known) - 1)
-                    starts = starts[known[at] == full]
-                    cover = np.zeros(len(own) + 1, np.int64)
-                    cover[starts] += 1
-                    cover[starts + width] -= 1
-                    gone[k] = np.cumsum(cover[:-1]) > 0
-        kept = [b" ".join(own if cover is None else [w for w, c in zip(own, cover.tolist()) if not c]).decode() for own, cover in zip(words, gone)]
-        return pa.table({"row": docs.column("row"), "n_words": pa.array([len(x) for x in words], pa.int64()), "n_removed": pa.array([0 if c is None else int(c.sum()) for c in gone], pa.int64()), "kept_text": pa.array(kept, pa.string())})
+            passages = _Passages(words, windows.column("place").to_numpy(), width)
+            gone = [passages.removed(k) for k in range(len(words))]
+        kept = [b" ".join(own if out is None else [w for w, x in zip(own, out.tolist()) if not x]).decode() for own, out in zip(words, gone)]
+        return pa.table({"row": docs.column("row"), "n_words": pa.array([len(x) for x in words], pa.int64()), "n_removed": pa.array([0 if x is None else int(x.sum()) for x in gone], pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return run
 
@@ -151,17 +197,18 @@ def remove_repeats(docs: DataFrame, width: int = 35, shard_mb: int = 8, id_col:
     Words are runs of characters other than ASCII white space, unchanged; kept ones are joined by one space. A window is
     ``width`` consecutive words of one row, judged on the input; the same row and rows with the same id count as elsewhere.
     A null, empty or short text loses nothing. Rows without an id are treated like the others. Other columns aren't read.
+    An empty table gives an empty one.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("string").alias("text"))
     n_shards = int((plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (shard_mb << 20)) + 1
-    plain = plain.select(F.pmod(F.xxhash64("row", F.when(F.col("row").isNull(), F.col("text"))), F.lit(n_shards)).cast("int").alias("shard"), "row", "text")
+    plain = plain.select(F.pmod(F.xxhash64("row", "text"), F.lit(n_shards)).cast("int").alias("shard"), "row", "text")
     anchors = written(plain.select("shard", "text").mapInArrow(_anchors(width), "shard int, anchors array<bigint>"), "anchors")
     each = anchors.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor", "shard").agg(F.count("*").alias("n"))
     twice = each.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     routed = each.select("anchor", "shard").join(twice, "anchor").select("shard", "anchor")
 
-    found = plain.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_windows(width), "window bigint, shard int, place bigint, n int")
-    recurring = found.select("*", F.sum("n").over(Window.partitionBy("window")).alias("total")).where("total > 1").select("shard", "place")
+    found = plain.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_windows(width), "window bigint, check bigint, shard int, place bigint, n int")
+    recurring = found.select("*", F.sum("n").over(Window.partitionBy("window", "check")).alias("total")).where("total > 1").select("shard", "place")
     # one plan: both steps read one shuffle of the texts
     out = plain.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_removed(width), "row bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("row", id_col)

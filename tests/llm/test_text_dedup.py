@@ -25,6 +25,19 @@ def test_lines_match_brute_force(spark):
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text, r.hash) for r in dedup_lines(docs).collect()]
     assert sorted(got) == sorted(want)
     assert dedup_lines(docs.limit(0)).collect() == []
+    salted = dedup_lines(docs, broadcast_rows=0).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text, r.hash) for r in salted) == sorted(want)
+
+
+def test_lines_with_clashing_names(spark):
+    rows = [(k, "One line that all of them share\nown " + str(k), "a", "b", "c", "d", "e") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _id string, drop string, N_Lines string, mark string, `a.b` string")
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_id", "drop", "mark", "a.b", "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, f"own {k}" if k < 3 else rows[3][1], "a", "b", "d", "e", 2, int(k < 3)) for k in range(4)]
+    long = "\n".join(["One line that all of them share"] * 30_000 + ["y"] * 100_000)
+    kept = {r.doc_id: r for r in dedup_lines(docs.select("doc_id", "text").union(spark.createDataFrame([(2, long)], "doc_id int, text string"))).collect() if r.n_lines > 2}
+    assert kept[2].n_dropped == 30_000 and kept[2].text == "\n".join(["y"] * 100_000)
 
 
 def brute_repeats(rows, width):
@@ -52,7 +65,7 @@ def test_repeats_match_brute_force(spark):
             a = rnd.randrange(len(p) // 2)
             parts += rnd.choice([[word() for _ in range(rnd.randrange(40))], p, p[a:], p[: len(p) - a], p[:3] * 15])
         rows.append((i, rnd.choice([" ", "\n", " \t"]).join(parts)))
-    rows += [(120, None), (121, ""), (None, rows[5][1]), (4, rows[9][1]), (122, "z " * 50), (123, " ".join("ab") + " q" * 36)]
+    rows += [(120, None), (121, ""), (None, rows[5][1]), (4, rows[9][1]), (122, "z " * 50), (124, "y " * 100_000 + "end"), (123, " ".join("ab") + " q" * 36)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, shard int")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(docs).collect())
     assert got == brute_repeats(rows, 35)
@@ -66,3 +79,16 @@ def test_repeats_over_many_shards(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(tuple(r) for r in remove_repeats(docs, shard_mb=1).collect())
     assert got == brute_repeats(rows, 35)
+
+
+def test_crowded_phrases(spark, monkeypatch):
+    """A phrase in very many recurring contexts, and a regular pair of words that a polynomial modulo 2 ** 64 can't tell apart."""
+    rnd = random.Random(11)
+    phrase = [f"p{k}" for k in range(30)]
+    contexts = [[f"a{k}_{j}" for j in range(20)] + phrase + [f"b{k}_{j}" for j in range(20)] for k in range(30)]
+    morse = ["ab"[bin(k).count("1") % 2] for k in range(2048)]
+    rows = [(i, " ".join(rnd.choice(contexts)[rnd.randrange(12) : 70 - rnd.randrange(12)] + [f"u{i}"] + rnd.choice(contexts))) for i in range(80)]
+    for k, word in enumerate(["".join(morse), "".join("ba"[c == "b"] for c in morse)]):
+        rows.append((100 + k, " ".join([word] + [f"m{j}" for j in range(34)] + [f"end{k}"])))
+    got = sorted(tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_repeats(rows, 35)
