@@ -1,6 +1,6 @@
 import numpy as np
 
-from loomspark.llm.vectors import near_vectors
+from loomspark.llm.vectors import dealt_tiles, near_vectors
 
 
 def test_matches_brute_force(spark):
@@ -39,3 +39,24 @@ def test_matches_brute_force(spark):
     want = sorted(key((i, n, None if i is None else root(i), i is not None and root(i) == i)) for (i, *_), n in zip(data, links))
     assert sorted(key((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
     assert near_vectors(df.limit(0)).collect() == []
+
+
+def test_norms_out_of_range(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.1e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308]), (6, [1e-200] * 8), (7, [3e200] * 8)]
+    got = near_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 1, 6), (7, 1, 6)]
+
+
+def test_far_blocks_meet_in_no_tile(spark):
+    rnd = np.random.default_rng(2)
+    turn = np.repeat(np.linspace(0, 3, 8), 40)
+    x = np.stack([np.cos(turn), np.sin(turn)], 1) + rnd.standard_normal((320, 2)) * 0.02
+    angle = np.arccos(x[:, 0] / np.linalg.norm(x, axis=1))
+    rows = [(k, k, k, 1, "2:0", v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, angle))]
+    tiles = dealt_tiles(spark.createDataFrame(rows, "h1 bigint, h2 bigint, rep bigint, copies bigint, label string, embedding array<double>, angle double"), 0.93, 16).select("ci", "i", "cj", "j").distinct().count()
+    blocks = 8 * 3
+    assert 0 < tiles < blocks * (blocks + 1) // 3
+    df = spark.createDataFrame([(k, [float(a) for a in v], 0) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.93).sum(1) - 1
+    assert [r.n_links for r in sorted(near_vectors(df, block_rows=16).collect())] == want.tolist()
