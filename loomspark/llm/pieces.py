@@ -7,6 +7,7 @@ Both operators give each piece the score of the file and find the segmentation o
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import _BASE, lists, mix
+from loomspark.llm.common import _BASE, Columns, lists, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A character without a piece of its own is spelt in bytes, at this much under the lowest score for each byte.
 PENALTY = 10.0
-#: Distinct segments whose segmentation a task keeps; beyond, it starts anew, so its memory is bounded.
-MEMO = 400_000
+#: Bytes that a task's memory of segments or words may take; beyond, it starts anew. Ones of over LONG characters aren't kept.
+MEMO_BYTES = 96 << 20
+LONG = 64
 
 
 @dataclass(frozen=True)
@@ -71,35 +73,37 @@ class Encoder:
         self.singles = frozenset(p for p in vocabulary.pieces if len(p) == 1)
         self.low = vocabulary.low
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo_bytes = 0
 
     def segment(self, text: str) -> tuple[int, ...]:
         """The ids of the best segmentation; of equally good last pieces, the longest."""
         n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [(-1, 0)] * (n + 1)
+        best, back, span = array("d", [-np.inf]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
         bare = {} if self.singles.issuperset(text) else {k: c.encode().replace(SPACE.encode(), SPACE.encode()) for k, c in enumerate(text) if c not in self.singles}
         if not bare:
             for end, (i, size, score) in self.automaton.iter(text):
                 total = best[end + 1 - size] + score
                 if total > best[end + 1]:
-                    best[end + 1], back[end + 1] = total, (i, size)
+                    best[end + 1], back[end + 1], span[end + 1] = total, i, size
         else:
             done = 0
 
             def spell(upto: int) -> None:
                 for k in range(done, upto):
                     if k in bare and best[k] + self.low * len(bare[k]) > best[k + 1]:
-                        best[k + 1], back[k + 1] = best[k] + self.low * len(bare[k]), (-1, 1)
+                        best[k + 1], back[k + 1], span[k + 1] = best[k] + self.low * len(bare[k]), -1, 1
 
             for end, (i, size, score) in self.automaton.iter(text):
                 spell(end)  # all matches that end before this one are in
                 done = max(done, end)
                 total = best[end + 1 - size] + score
                 if total > best[end + 1]:
-                    best[end + 1], back[end + 1] = total, (i, size)
+                    best[end + 1], back[end + 1], span[end + 1] = total, i, size
             spell(n)
         ids, at = [], n
         while at:
-            i, size = back[at]
+            i, size = back[at], span[at]
             if i < 0:
                 ids += [self.v.byte_ids[b] for b in reversed(bare[at - 1])]
             else:
@@ -116,8 +120,9 @@ class Encoder:
             text = text.replace("\x00", "\x00z").replace(SPACE, "\x00m")
         out: list[int] = []
         memo = self.memo
-        if len(memo) > MEMO:
+        if self.memo_bytes > MEMO_BYTES:
             memo.clear()
+            self.memo_bytes = 0
         literal = False
         for part in self._segments.findall(SPACE + text.replace(" ", SPACE)):
             if marks:
@@ -132,7 +137,10 @@ class Encoder:
                         continue
             ids = memo.get(part)
             if ids is None:
-                ids = memo[part] = self.segment(part)
+                ids = self.segment(part)
+                if len(part) <= LONG:
+                    memo[part] = ids
+                    self.memo_bytes += 250 + 4 * len(part) + 8 * len(ids)
             out += ids
         return out
 
@@ -159,17 +167,19 @@ def _coded(vocabulary: Vocabulary, text_at: int, names: list[str]):
 def encode_pieces(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with piece_ids and decoded (the text read back from them, equal to it).
 
-    A null or empty text has the ids of the space mark alone. Columns named as the new ones are replaced, others carried along.
+    Of equally good segmentations the one of the longest last piece is taken, back from the end. A null or empty text has the
+    ids of the space mark alone. Columns named as the new ones, in any case, are replaced, others carried along under any
+    name; repeated rows stay. An empty table gives an empty one.
     """
-    new = ["piece_ids", "decoded"]
-    old = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in old.schema.fields]
-    return old.mapInArrow(_coded(load_vocabulary(model), old.columns.index(text_col), [*old.columns, *new]), ", ".join([*fields, "piece_ids array<int>", "decoded string"]))
+    own = Columns(docs, ("piece_ids", "decoded"))
+    names = [*own.own, "piece_ids", "decoded"]
+    return own.back(own.df.mapInArrow(_coded(load_vocabulary(model), own.own.index(own.at(text_col)), names), own.fields("piece_ids array<int>", "decoded string")))
 
 
 class TrieCounter:
     """Pieces in the best segmentation of words. New words go into a trie, level by level; each node's forward score is
     computed once from its ancestors', so words share the work of their common prefixes, and their last nodes' counts are kept.
+    Ties go to the longest last piece, as in the encoder, which counts words of over LONG characters: they share little.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -185,6 +195,7 @@ class TrieCounter:
             self.tables[size] = keys[order], np.array([s for _, s in rows])[order]
         self.power = [pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)]
         self.counts: dict[bytes, int] = {}
+        self.counts_bytes, self.single = 0, Encoder(vocabulary)
 
     @staticmethod
     def _char(points: np.ndarray) -> np.ndarray:
@@ -198,7 +209,14 @@ class TrieCounter:
 
     def insert(self, words: list[bytes]) -> None:
         """Counts new distinct words (UTF-8, without white space)."""
-        texts = [SPACE + w.decode() for w in words]
+        every = [SPACE + w.decode() for w in words]
+        for w, text in zip(words, every):
+            if len(text) > LONG:
+                self.counts[w] = len(self.single.segment(text))
+            self.counts_bytes += 150 + len(w)
+        words, texts = [w for w, t in zip(words, every) if len(t) <= LONG], [t for t in every if len(t) <= LONG]
+        if not texts:
+            return
         texts_at = sorted(range(len(texts)), key=lambda k: len(texts[k]), reverse=True)
         sizes = np.array([len(texts[k]) for k in texts_at])
         flat = np.frombuffer("".join([texts[k] for k in texts_at]).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -227,7 +245,7 @@ class TrieCounter:
                         k = np.minimum(np.searchsorted(own, part), len(own) - 1)
                         found = own[k] == part
                         total = np.where(found, best0[above] + scores[k], -np.inf)
-                        better = total > best
+                        better = found & (total >= best)
                         best, count = np.where(better, total, best), np.where(better, count0[above] + 1, count)
                     if size == 1 and not found.all():
                         octets = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
@@ -248,8 +266,9 @@ def _counted(vocabulary: Vocabulary, text_at: int, names: list[str]):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = [(x or "").encode().split() for x in part.column(text_at).to_pylist()]
-                if len(trie.counts) > MEMO:
+                if trie.counts_bytes > MEMO_BYTES:
                     trie.counts.clear()
+                    trie.counts_bytes = 0
                 new = {w for row in rows for w in row}.difference(trie.counts)
                 if new:
                     trie.insert(sorted(new))
@@ -261,10 +280,10 @@ def _counted(vocabulary: Vocabulary, text_at: int, names: list[str]):
 def count_tokens(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words and n_tokens: the pieces of its words, each with a space mark before it.
 
-    Words are runs of characters other than ASCII white space; a null or blank text has none. Columns named as the new ones
-    are replaced, others carried along.
+    Words are runs of characters other than ASCII white space; a null or blank text has none. Of equally good segmentations
+    of a word the count is that of encode_pieces(). Columns named as the new ones, in any case, are replaced, others carried
+    along under any name; repeated rows stay. An empty table gives an empty one.
     """
-    new = ["n_words", "n_tokens"]
-    old = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in old.schema.fields]
-    return old.mapInArrow(_counted(load_vocabulary(model), old.columns.index(text_col), [*old.columns, *new]), ", ".join([*fields, "n_words bigint", "n_tokens bigint"]))
+    own = Columns(docs, ("n_words", "n_tokens"))
+    names = [*own.own, "n_words", "n_tokens"]
+    return own.back(own.df.mapInArrow(_counted(load_vocabulary(model), own.own.index(own.at(text_col)), names), own.fields("n_words bigint", "n_tokens bigint")))
