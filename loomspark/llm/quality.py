@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import text_blocks, window_hashes, word_hashes, words_of
+from loomspark.llm.common import Columns, text_blocks, window_hashes, word_hashes
 
 #: Feature -> its monotonic constraint: -1 if more of it may only lower the score, 0 if it is free.
 FEATURES = {
@@ -26,13 +26,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _flags(of: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.uint8)
     out[list(of)] = 1
     return out
 
 
 _SYMBOLS, _MARKS, _CAPITALS, _DIGITS = _flags(b"#*$%&|<>"), _flags(b"!?.,;:"), _flags(bytes(range(65, 91))), _flags(b"0123456789")
-_FIRST = np.ones(256, np.int64)  # bytes that begin a code point
+_FIRST = np.ones(256, np.uint8)  # bytes that begin a code point
 _FIRST[0x80:0xC0] = 0
 _IN_WORD = _FIRST.copy()
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = 0
@@ -41,8 +41,13 @@ _IN_WORD[[9, 10, 11, 12, 13, 32]] = 0
 def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(STATS as integers, FEATURES as floats) of each row of a block of texts."""
 
+    filled = np.flatnonzero(np.diff(offsets))
+
     def per_row(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(flags[data])])[offsets])
+        out = np.zeros(len(offsets) - 1, np.int64)
+        if len(filled):
+            out[filled] = np.add.reduceat(flags[data], offsets[filled], dtype=np.int64)
+        return out
 
     words, rows = word_hashes(data, offsets)
     triples = window_hashes(words, 3)
@@ -183,12 +188,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, cu
 
     Words are runs of characters other than ASCII white space. Kept: not base_failed (under 50 words, or over half of the
     words in repeated 3-word windows) and score >= ``cut``. A null or empty text has no words and fails. Without labels of
-    both kinds the trees say nothing and the base rules decide alone. Columns of ``docs`` named as one of the new ones are
-    replaced; all others, repeated rows included, are carried along.
+    both kinds the trees say nothing and the base rules decide alone. Columns of ``docs`` named as one of the new ones, in any
+    case, are replaced; all others, under any name, and repeated rows are carried along. An empty table gives an empty one.
     """
     trees = fit_quality(docs, labels, max_rows, id_col, text_col)
-    new = [*STATS, "base_failed", "score", "kept"]
-    old = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in old.schema.fields]
-    schema = ", ".join([*fields, *(f"{x} bigint" for x in STATS), "base_failed boolean", "score double", "kept boolean"])
-    return old.mapInArrow(_described(old.columns.index(text_col), trees, [*old.columns, *new], cut), schema)
+    new = (*STATS, "base_failed", "score", "kept")
+    own = Columns(docs, new)
+    schema = own.fields(*(f"{x} bigint" for x in STATS), "base_failed boolean", "score double", "kept boolean")
+    return own.back(own.df.mapInArrow(_described(own.own.index(own.at(text_col)), trees, [*own.own, *new], cut), schema))
