@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import written
+from loomspark.llm.common import Columns, written
 
 LEVELS = ("domain", "lang", "source")
 #: Places in which the rows of one leaf meet its budget, so that a leaf with a third of all rows isn't one task's.
 SALTS = 32
+NEW = ("mix_domain", "mix_tokens", "mix_copies")
 
 
 def count_words(text: Column) -> Column:
@@ -72,16 +73,15 @@ def mix_sources(docs: DataFrame, domain: Column, share: float = 0.5, weights: di
     The budget is ``share`` of all tokens (words). ``weights`` maps a level (domain, lang, source) to the weights of its names;
     others weigh 1, and 0 takes none. Each epoch orders a leaf by md5(seed, epoch, id, text); of the last one the
     documents that end within what is left are taken. Null names are the name ''. Rows with the same id and text in a leaf
-    are ordered as one and taken together. Columns named as one of the new ones are replaced, others carried along.
+    are ordered as one and taken together. ``domain`` is an expression on the columns of ``docs``. Columns named as one of the
+    new ones, in any case, are replaced, others carried along under any name. An empty table gives an empty one.
     """
-    new = ["mix_domain", "mix_tokens", "mix_copies"]
-    old = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    row = old.select("*", F.coalesce(domain.cast("string"), F.lit("")).alias("mix_domain"), count_words(F.col(text_col)).alias("mix_tokens"))
-    tag = F.when(F.col(id_col).isNull(), F.md5(F.encode(text, "UTF-8"))).otherwise(F.col(id_col).cast("string"))
-    slim = row.select(tag.alias("_tag"), F.col("mix_domain").alias("domain"), named("lang").alias("lang"), named("source").alias("source"), F.col("mix_tokens").alias("tokens"))
-    slim = written(slim, "slim")
+    own = Columns(docs.withColumns({"mix_domain": domain.cast("string")}), ("mix_tokens", "mix_copies"))
+    named = lambda c: F.coalesce(F.col(own.at(c)).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(own.at(text_col)).cast("string"), F.lit(""))
+    tag = F.when(F.col(own.at(id_col)).isNull(), F.md5(F.encode(text, "UTF-8"))).otherwise(F.col(own.at(id_col)).cast("string"))
+    keys = {"domain": named("mix_domain"), "lang": named("lang"), "source": named("source"), "_tag": tag, "_text": F.xxhash64(text)}
+    slim = written(own.df.select(*[v.alias(k) for k, v in keys.items()], count_words(text).alias("tokens")), "slim")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     total = leaves.groupBy().agg(F.sum("tokens").alias("total"))
     budget = float(total.first()[0] or 0) * share
@@ -101,9 +101,10 @@ def mix_sources(docs: DataFrame, domain: Column, share: float = 0.5, weights: di
     part = placed.where(F.col("_before") + F.col("_all") > F.col("left")).withColumn("_end", F.col("_before") + F.sum("tokens").over(within)).where(F.col("_end") <= F.col("left")).select(*LEVELS, "_tag")
     chosen = whole.unionByName(part).withColumn("_more", F.lit(1))
 
-    keys = {"_d": F.col("mix_domain"), "_l": named("lang"), "_s": named("source"), "_tag": tag}
-    out = row.select("*", *[v.alias(k) for k, v in keys.items()])
-    copied = planned.join(chosen, [*LEVELS, "_tag"], "left").withColumn("_copies", F.col("epochs") + F.coalesce("_more", F.lit(0))).where("_copies > 0")
-    out = out.join(copied.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "_tag", "_copies"), ["_d", "_l", "_s", "_tag"], "left")
-    copies = F.when(F.col("mix_tokens") > 0, F.coalesce("_copies", F.lit(0))).otherwise(0).cast("bigint")
-    return out.select(*old.columns, "mix_domain", "mix_tokens", copies.alias("mix_copies"))
+    # the words are counted once: rows get theirs back by id and text
+    copied = planned.join(chosen, [*LEVELS, "_tag"], "left").select(*LEVELS, "_tag", (F.col("epochs") + F.coalesce("_more", F.lit(0))).alias("_copies")).where("_copies > 0")
+    told = slim.groupBy(*LEVELS, "_tag", "_text").agg(F.max("tokens").alias("_tokens")).join(copied, [*LEVELS, "_tag"], "left")
+    out = own.df.withColumns(keys).join(told, list(keys))
+    copies = F.when(F.col("_tokens") > 0, F.coalesce("_copies", F.lit(0))).otherwise(0).cast("bigint")
+    back = own.back(out.select(*[named("mix_domain").alias(c) if c == own.at("mix_domain") else F.col(c) for c in own.own], F.col("_tokens").alias("mix_tokens"), copies.alias("mix_copies")))
+    return back.select(*[F.col(f"`{c}`") for c in back.columns if c.lower() not in NEW], *NEW)
