@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,7 +82,7 @@ MAPPINGS = (
 )
 BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
 #: The columns that a JSON record of any mapped layout may have.
-RECORD = "conv_id bigint, messages array<struct<role string, content string>>, conversations array<struct<`from` string, value string>>, prompt string, completion string, response string, instruction string, input string, output string, question string, answer string"
+RECORD = "conv_id bigint, turn bigint, role string, text string, messages array<struct<role string, content string>>, conversations array<struct<`from` string, value string>>, prompt string, completion string, response string, instruction string, input string, output string, question string, answer string"
 
 
 def _turns(df: DataFrame, expression: str) -> DataFrame:
@@ -104,22 +104,44 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return df.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
 
-def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON record's field paths, of objects in arrays too (to the depth that MAPPINGS need: two)."""
-    top = F.json_object_keys(record)
+def record_paths(record: Column) -> Column:
+    """A JSON record's field paths in order, of objects in arrays too (to the depth that MAPPINGS need: two); null if it is no object."""
     inner = lambda k: F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]"))))
-    each = F.transform(top, lambda k: F.when(inner(k).isNull(), F.array(k)).otherwise(F.transform(inner(k), lambda f: F.concat(k, F.lit("[]."), f))))
-    return F.sha2(F.array_join(F.array_sort(F.flatten(each)), "\n"), 256)
+    below = lambda k: F.transform(F.array(inner(k)), lambda f: F.when(f.isNull(), F.array(k)).otherwise(F.transform(f, lambda x: F.concat(k, F.lit("[]."), x))))[0]
+    return F.array_sort(F.flatten(F.transform(F.json_object_keys(record), below)))
+
+
+def _layout(own: Column) -> Column:
+    """The fingerprint of the mapping for a record with the paths ``own``: that of just these, else that of most fields which are all there."""
+    exact = F.sha2(F.array_join(own, "\n"), 256)
+    choice = F.lit(None).cast("string")
+    for m in sorted(MAPPINGS, key=lambda m: len(m.fields)):
+        choice = F.when(F.size(F.array_except(F.array(*map(F.lit, m.fields)), own)) == 0, m.fingerprint).otherwise(choice)
+    return F.when(exact.isin([*BY_FINGERPRINT]), exact).otherwise(choice)
+
+
+def _read(df: DataFrame, record_col: str) -> DataFrame:
+    record = F.col(record_col)
+    return df.select(record.alias("record"), record_paths(record).alias("own")).select("record", _layout(F.col("own")).alias("layout"))
+
+
+def unmapped_records(df: DataFrame, record_col: str) -> DataFrame:
+    """(record) of the JSON records that canonical_records() has no mapping for, and of what is no JSON object."""
+    return _read(df, record_col).where("layout is null").select("record")
 
 
 def canonical_records(df: DataFrame, record_col: str) -> DataFrame:
-    """The turns of JSON records in mixed layouts; a record of no known layout, or no JSON at all, has none."""
-    read = df.select(record_fingerprint(F.col(record_col)).alias("_layout"), F.from_json(record_col, RECORD).alias("_r")).select("_layout", "_r.*")
-    choice = F.lit(None).cast("array<struct<role string, text string>>")
+    """The turns of JSON records in mixed layouts, each mapped by its own fingerprint; see unmapped_records() for those of none.
+
+    A record of one turn has its own number of turn; others count from 0. Fields besides a layout's are let go.
+    """
+    each = "transform({0}, (m, k) -> named_struct('turn', cast(k as bigint), 'role', cast(m.role as string), 'text', cast(m.text as string)))"
+    choice = F.lit(None).cast("array<struct<turn bigint, role string, text string>>")
     for m in MAPPINGS:
-        if m.turns:
-            choice = F.when(F.col("_layout") == m.fingerprint, F.expr(m.turns)).otherwise(choice)
-    return _turns(read.select("conv_id", choice.alias("_turns")), "_turns")
+        turns = each.format(m.turns) if m.turns else "array(named_struct('turn', turn, 'role', role, 'text', text))"
+        choice = F.when(F.col("layout") == m.fingerprint, F.expr(turns)).otherwise(choice)
+    read = _read(df, record_col).where("layout is not null").select("layout", F.from_json("record", RECORD, {"maxStringLen": "2147483647"}).alias("r")).select("layout", "r.*")
+    return read.select("conv_id", F.explode(choice).alias("m")).select("conv_id", "m.turn", "m.role", "m.text")
 
 
 # --- template ---------------------------------------------------------------------------------------------------------
@@ -144,12 +166,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns array of (role, text), losses array of text) read back from ``formatted`` and ``mask`` alone."""
+    """(conv_id, formatted, turns array of (role, text), losses array of text) read back from ``formatted`` and ``mask`` alone, row by row."""
     piece = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
     turn = lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n", ""), r"<\|im_end\|>\n\z", "")).alias("text"))
-    at = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    runs = formatted.select("conv_id", F.posexplode("mask").alias("k", "run"))
-    spans = runs.select("conv_id", "k", F.coalesce(F.sum("run.length").over(at), F.lit(0)).alias("start"), "run.length", "run.loss").where("loss").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    cut = F.transform(F.coalesce("spans", F.array().cast("array<struct<start bigint, length int>>")), lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), s.length)))
-    spans = spans.withColumnRenamed("conv_id", "_conv_id")
-    return formatted.join(spans, F.equal_null("conv_id", "_conv_id"), "left").select("conv_id", "formatted", F.transform(piece, turn).alias("turns"), cut.alias("losses"))
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start int, length int>>").alias("spans"))
+    step = lambda so, run: F.struct((so.at + run.length).alias("at"), F.when(run.loss, F.array_append(so.spans, F.struct(so.at.alias("start"), run.length.alias("length")))).otherwise(so.spans).alias("spans"))
+    spans = F.aggregate("mask", none, step).spans
+    cut = F.transform(spans, lambda s: unescape(F.substring(F.col("formatted"), s.start, s.length)))
+    return formatted.select("conv_id", "formatted", F.transform(piece, turn).alias("turns"), cut.alias("losses"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.chat import canonical_turns, format_chats, read_chats
+from loomspark.llm.chat import canonical_records, format_chats, read_chats
 from loomspark.llm.jaccard import jaccard_components
 from loomspark.llm.lines import dedup_lines
 from loomspark.llm.mixing import mix_sources
@@ -59,8 +59,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.array(*[F.struct(F.lit(role).alias("role"), F.lit(SPOKEN).alias("content")) for role in ("user", "assistant")]).alias("messages"))
-    turns = canonical_turns(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).unionByName(canonical_turns(extra))
+    """Rows of turns and a record of messages go in as JSON of mixed layouts; each is mapped by its fingerprint."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    spoken = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(SPOKEN).alias("content")) for role in ("user", "assistant")])
+    extra = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), spoken.alias("messages"))
+    record = lambda df: df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    turns = canonical_records(record(rows).unionByName(record(extra)), "record")
     back = read_chats(format_chats(turns))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join("losses", "")

@@ -1,12 +1,14 @@
 import collections
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from loomspark.llm.chat import canonical_records, canonical_turns, escape, escape_role, format_chats, read_chats, unescape, unescape_role
+from loomspark.llm.chat import canonical_records, canonical_turns, escape, escape_role, format_chats, read_chats, unescape, unescape_role, unmapped_records
 from loomspark.llm.mixing import LEVELS, mix_sources
 from loomspark.llm.queries import URL_RULES
 from loomspark.llm.urls import filter_urls, url_host, url_path
@@ -40,6 +42,32 @@ def test_urls(spark):
     assert pages.select(url_host("url").alias("h"), url_path("url").alias("p")).count() == len(urls) + 2
 
 
+def test_mined_rules_match_brute_force(spark):
+    rnd = random.Random(12)
+    hosts, words = ["a.net", "b.net", "c.b.net"], ["x", "y", "z", "shop", "ads", "win"]
+    urls = [f"http://{rnd.choice(hosts)}/{'/'.join(rnd.sample(words, rnd.randrange(1, 5)))}" for _ in range(260)]
+    urls += [f"http://t.org/{'/'.join(f's{j}' for j in range(25))}/{k % 3}" for k in range(12)] + ["http://t.org/s3/s4", "http://long.net/" + "/".join(f"r{j}" for j in range(4000))]
+    own = [set([f"h:{x}" for x in u.split("://")[1].split("/")[0].split(".")] + [f"p:{x}" for x in u.split("://")[1].split("/")[1:]]) for u in urls]
+    bad = [int({"p:shop", "p:ads", "p:win", "p:x"} <= t or ("h:a" in t and "p:z" in t and rnd.random() < 0.9) or "p:s7" in t) for t in own]
+    labelled = [k for k in range(len(urls)) if k % 4]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(k, bad[k]) for k in labelled], "doc_id bigint, toxic int")
+    got = {r.page_id: r for r in filter_urls(spark, pages, labels, [], min_support=0.01, min_confidence=0.7, least_pages=4, prior=1.0).collect()}
+
+    base, fired = sum(bad[k] for k in labelled) / len(labelled), collections.defaultdict(float)
+    template = {f"p:s{j}" for j in range(25)}
+    for k, tokens in enumerate(own):
+        for size in range(1, 7):
+            for subset in itertools.combinations(sorted(tokens if len(tokens) < 20 else tokens & {"h:t", "h:org", "p:s3", "p:s7", "p:0", "p:1", "p:2"}), size):
+                having = [j for j in labelled if own[j] >= set(subset)]
+                hits = sum(bad[j] for j in having)
+                if hits >= max(4, math.ceil(0.01 * len(labelled))) and (hits + base) / (len(having) + 1) >= 0.7:
+                    fired[k] = max(fired[k], (hits + base) / (len(having) + 1))
+    assert 0 < len(fired) < len(urls) and any(own[k] & template for k in fired)
+    for k in range(len(urls)):
+        assert (got[k].verdict, round(got[k].confidence or 0, 9)) == ("block" if k in fired else "allow", round(fired.get(k, 0), 9)), urls[k]
+
+
 def test_chat_escapes(spark):
     rnd = random.Random(1)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "~", "<", "[", "\n", "x", "\\", "\\n", "|>", "<~s>", "s>"]
@@ -68,11 +96,14 @@ def test_chat_layouts(spark):
         {"conv_id": 1, "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]},
         {"conv_id": 2, "conversations": [{"from": "human", "value": "c"}, {"from": "gpt", "value": "d"}]},
         {"conv_id": 3, "prompt": "e", "completion": "f"}, {"instruction": "g", "conv_id": 4, "input": "h", "output": "i"}, {"conv_id": 5, "instruction": "j", "input": "", "output": "k"}, {"conv_id": 6, "strange": 1},
+        {"conv_id": 8, "turn": 4, "role": "tool", "text": "l\n\u0000"}, {"conv_id": 9, "turn": 0, "role": None, "text": None},
+        {"conv_id": 10, "id": "x", "source": None, "messages": [{"role": "user", "content": "m", "name": "n"}, {"role": "assistant", "content": None}]},
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r in records] + [(None,), ("no json",)], "record string")
-    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in canonical_records(df, "record").collect())
+    got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in canonical_records(df, "record").collect()), key=lambda r: r[:2])
+    assert {r.record for r in unmapped_records(df, "record").collect()} == {json.dumps(records[5]), None, "no json"}
     pair = lambda c, a, b: [(c, 0, "user", a), (c, 1, "assistant", b)]
-    assert got == pair(1, "a", "b") + pair(2, "c", "d") + pair(3, "e", "f") + pair(4, "g\n\nh", "i") + pair(5, "j", "k")
+    assert got == pair(1, "a", "b") + pair(2, "c", "d") + pair(3, "e", "f") + pair(4, "g\n\nh", "i") + pair(5, "j", "k") + [(8, 4, "tool", "l\n\0"), (9, 0, None, None), (10, 0, "user", "m"), (10, 1, "assistant", None)]
     table = spark.createDataFrame([(7, "q", "r")], "conv_id bigint, question string, answer string")
     assert sorted((r.role, r.text) for r in canonical_turns(table).collect()) == [("assistant", "r"), ("user", "q")]
 
