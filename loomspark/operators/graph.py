@@ -61,8 +61,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def top_page(nodes: DataFrame, edges: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """A page of nodes by degree, and the edges between two of its nodes."""
-    page = degrees(nodes, edges).orderBy(F.desc("degree"), "node_id").offset(offset).limit(limit)
-    inside = edges.join(page.select(F.col("node_id").alias("src")), "src", "left_semi").join(page.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    page = _cut(degrees(nodes, edges).orderBy(F.desc("degree"), "node_id").offset(offset).limit(limit))  # ``limit`` rows, used three times
+    at = lambda c: F.broadcast(page.select(F.col("node_id").alias(c)))
+    inside = edges.join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi")
     return page, inside
 
 
@@ -135,6 +136,8 @@ def _cut(df: DataFrame) -> DataFrame:
     """``df`` written in the checkpoint folder, where its lineage ends."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
     return df.checkpoint()
 
@@ -162,3 +165,10 @@ def match_score(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     q, name = query.lower(), F.lower("name")
     score = F.when(name == q, 1.0).when(F.startswith(name, F.lit(q)), 0.9).when(F.contains(name, F.lit(q)), F.round(0.7 + 0.2 * F.lit(len(q)) / F.length("name"), 3)).otherwise(0.5)
     return nodes.where(F.contains(name, F.lit(q))).select("node_id", "label", "name", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(limit)
+
+
+def degree_centrality(graph: DataFrame) -> DataFrame:
+    """(node, centrality) of ``graph(u, v)``: neighbours over the other nodes."""
+    ends = graph.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    total = ends.agg((F.count("*") - 1).alias("others"))
+    return ends.join(F.broadcast(total)).select("node", F.round(F.col("n") / F.col("others"), 9).alias("centrality"))

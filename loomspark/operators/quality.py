@@ -120,3 +120,9 @@ def compare_reports(before: DataFrame, after: DataFrame) -> DataFrame:
     """(metric, before, after, delta, improved) of two reports, 0 where one has no value."""
     x = before.select("metric", F.col("value").alias("before")).join(after.select("metric", F.col("value").alias("after")), "metric", "full").na.fill(0.0)
     return x.withColumn("delta", F.round(F.col("after") - F.col("before"), 6)).withColumn("improved", F.col("after") > F.col("before"))
+
+
+def split_by_hash(items: DataFrame, id_col: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test): rows whose seeded hash falls under ``share``, and the others; an id is always on the same side."""
+    low = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return items.where(low), items.where(~low)

@@ -61,3 +61,20 @@ def mean_vectors(vectors: DataFrame, by: str, vector_col: str = "embedding") ->
     """The mean of each group's vectors."""
     each = vectors.select(by, F.posexplode(vector_col).alias("dim", "x")).groupBy(by, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return each.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s.x).alias("vector"))
+
+
+def entity_merge(vector_hits: DataFrame, entities: DataFrame, alpha: float = 0.5, limit: int = 20) -> DataFrame:
+    """(id, origin, combined): chunks by alpha * similarity / best, entities(name, score) by (1 - alpha) * score, with no sums; a chunk's id goes before a name's."""
+    best = vector_hits.agg(F.max("similarity").alias("best"))
+    v = vector_hits.join(F.broadcast(best)).groupBy(F.col("chunk_id").alias("id")).agg(F.round(F.max(F.col("similarity") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)) * alpha, 6).alias("combined"))
+    g = entities.groupBy(F.col("name").alias("id")).agg(F.round(F.max("score") * (1 - alpha), 6).alias("combined")).join(v.select("id"), "id", "left_anti")
+    both = v.select("id", F.lit("vector").alias("origin"), "combined").unionByName(g.select("id", F.lit("graph").alias("origin"), "combined"))
+    return both.orderBy(F.desc("combined"), "id").limit(limit)
+
+
+def late_chunks(placed: DataFrame) -> DataFrame:
+    """``placed(start, end, embedding)``, shares of a document and its vector, with lo, hi and pooled: the mean of that part of the vector, or of all of it if the part is empty."""
+    n = F.size("embedding")
+    x = placed.withColumns({"lo": F.floor(n * F.col("start")).cast("int"), "hi": F.floor(n * F.col("end")).cast("int")})
+    part = F.when(F.col("hi") > F.col("lo"), F.slice("embedding", F.col("lo") + 1, F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).otherwise(F.col("embedding"))
+    return x.withColumn("pooled", F.aggregate(part, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(part))
