@@ -2,7 +2,7 @@
 
 1. Anchors: of the phrases (PHRASE words) within each window of ``width`` words, the one of least hash. Equal windows have
    equal anchors, so only windows whose anchor occurs twice in the corpus can recur; the others go no further.
-2. Confirmation: documents are dealt to shards of bounded size. Each shard sends the 128-bit hashes of its distinct
+2. Confirmation: documents are dealt to shards of bounded size. Each shard sends the 96-bit hashes of its distinct
    windows with such an anchor, with a count and one place; those whose counts sum to two or more recur.
 3. Location: the recurring windows of a shard's documents form its confirmed passages. Phrases cut from them at every STRIDE
    words, so that each window holds one, are compiled into a pyahocorasick automaton, and all documents of the shard stream
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD_BASES, lists, mix, text_blocks, window_hashes, word_hashes, written
+from loomspark.llm.common import WORD_BASES, dropped, lists, mix, text_blocks, window_hashes, word_hashes, written
 
 PHRASE = 8
 CUT = 12
@@ -65,7 +65,7 @@ def _windows(width: int):
             docs = _sorted_docs(docs.select(["shard", "row", "text"]))
             for lo, _, data, offsets in text_blocks(docs.column("text")):
                 words, rows = word_hashes(data, offsets)
-                phrases, full, check = window_hashes(words, PHRASE), window_hashes(words, width), window_hashes(words, width, WORD_BASES[1])
+                phrases, full, check = window_hashes(words, PHRASE), window_hashes(words, width), (window_hashes(words, width, WORD_BASES[1]) >> np.uint64(32)).astype(np.int32)
                 for k, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
                     if b - a < width:
                         continue
@@ -77,13 +77,13 @@ def _windows(width: int):
                     checks.append(check[a + starts])
                     places.append((lo + k << 32) + starts)
         if not hashes:
-            return pa.table({"window": pa.array([], pa.int64()), "check": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "place": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
+            return pa.table({"window": pa.array([], pa.int64()), "check": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "place": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
         values, check, at = np.concatenate(hashes), np.concatenate(checks), np.concatenate(places)
         order = np.lexsort((check, values))
         values, check = values[order], check[order]
         first = np.flatnonzero(np.concatenate([[len(values) > 0], (values[1:] != values[:-1]) | (check[1:] != check[:-1])]))
         count = np.diff(np.append(first, len(values)))
-        return pa.table({"window": values[first].view(np.int64), "check": check[first].view(np.int64), "shard": pa.array(np.full(len(first), shard, np.int32)), "place": at[order][first].astype(np.int64), "n": np.minimum(count, 2).astype(np.int32)})
+        return pa.table({"window": values[first].view(np.int64), "check": check[first], "shard": pa.array(np.full(len(first), shard, np.int32)), "place": at[order][first].astype(np.int64), "n": np.minimum(count, 2).astype(np.int32)})
 
     return run
 
@@ -205,10 +205,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, shard_mb: int = 8, id_col:
     anchors = written(plain.select("shard", "text").mapInArrow(_anchors(width), "shard int, anchors array<bigint>"), "anchors")
     each = anchors.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor", "shard").agg(F.count("*").alias("n"))
     twice = each.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    routed = each.select("anchor", "shard").join(twice, "anchor").select("shard", "anchor")
+    routed = written(each.select("anchor", "shard").join(twice, "anchor").select("shard", "anchor"), "routed")
+    dropped(anchors)
 
-    found = plain.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_windows(width), "window bigint, check bigint, shard int, place bigint, n int")
+    found = plain.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_windows(width), "window bigint, check int, shard int, place bigint, n int")
     recurring = found.select("*", F.sum("n").over(Window.partitionBy("window", "check")).alias("total")).where("total > 1").select("shard", "place")
-    # one plan: both steps read one shuffle of the texts
+    recurring = written(recurring, "recurring")  # the shuffles of texts and windows go before the texts are dealt again
+    dropped(routed)
     out = plain.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_removed(width), "row bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("row", id_col)
