@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.catalog import _CHUNKS, _COS, _DEG, _chunks, _vector, query
-from loomspark.operators import graph, knowledge, quality, report, retrieval
+from loomspark.operators import graph, knowledge, merge, quality, report, retrieval, text
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
@@ -295,3 +295,39 @@ def _split_sizes(s: SparkSession, d: str) -> DataFrame:
     """Both sides of a seeded split together: no row is lost or doubled."""
     train, test = quality.split_by_hash(table(s, d, "documents"), "doc_id", 0.8, 7)
     return train.unionByName(test).agg(F.count("*").alias("n"))
+
+
+# --- strategies, extraction and upserts -------------------------------------------------------------------------------
+
+_HEADS = "len(regexp_extract_all(text, '(?m)^{0}[ \\t\\n\\f\\r]+')) > 0"
+query("x14_select_strategy", rf"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?m)^#{{1,6}}\s+.+$')) >= 3 THEN 'markdown' WHEN length(text) > 5000 AND NOT regexp_matches(text, '第[一二三四五六七八九十\d]+[章节部分篇]|【.+】|\d+\.\s+[A-Z\x{{4e00}}-\x{{9fff}}]') THEN 'semantic'
+ WHEN ({_HEADS.format('#')} AND {_HEADS.format('##')}) OR ({_HEADS.format('##')} AND {_HEADS.format('###')}) THEN 'hierarchical' ELSE 'recursive' END AS strategy FROM documents""")(lambda s, d: table(s, d, "documents").select("doc_id", text.select_strategy(F.col("text")).alias("strategy")))
+query("x15_contextual", f"{_CHUNKS} SELECT chunk_id, md5('[上下文] ' || left(lang || ' ' || source, 200) || chr(10) || content) AS h FROM c JOIN documents ON doc_id = document_id")(
+    lambda s, d: text.contextual(_chunks(s, d), table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "lang", "source").alias("context"))).select("chunk_id", F.md5(F.encode("content", "UTF-8")).alias("h")))
+_PATTERNS = [(r"[0-9]{3,}", "Number", 0.75), (r"[A-Z][a-z]{9,}", "Name", 0.7), (r"[0-9]+\.[0-9]+", "Decimal", 0.8), (r"[A-Za-z]{12,}", "Name", 0.6)]
+query("n04_pattern_entities", "SELECT id, name, type, strpos(text, name) - 1 AS start FROM (" + " UNION ALL ".join(f"SELECT doc_id AS id, text, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS name, '{t}' AS type FROM documents" for p, t, _ in _PATTERNS) + ")")(
+    lambda s, d: text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text").select("id", "name", "type", "start"))
+query("n07_extract")(lambda s, d: text.extracted(text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text")))
+
+
+def _entities(s: SparkSession, d: str, where: str, kind: str, confidence: float) -> DataFrame:
+    part = table(s, d, "part").where(where).groupBy(F.col("p_name").alias("name")).agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    return part.select("name", F.lit(kind).alias("type"), "types", F.lit(1).cast("bigint").alias("version"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("source"))
+
+
+_SIDES = "o AS (SELECT p_name AS name, list_distinct(list(p_type)) AS types FROM part WHERE p_size < 10 GROUP BY 1), n AS (SELECT p_name AS name, list_distinct(list(p_type)) AS types FROM part WHERE p_size BETWEEN 9 AND 12 GROUP BY 1)"
+query("m07_versioned_entities", f"WITH {_SIDES} SELECT name, CASE WHEN o.types IS NULL THEN 'new' ELSE 'old' END AS type, array_to_string(list_sort(list_distinct(coalesce(o.types, []) || coalesce(n.types, []))), ',') AS types, CASE WHEN o.types IS NULL OR n.types IS NULL THEN 1 ELSE 2 END AS version, CASE WHEN n.types IS NULL THEN 0.9 ELSE 0.4 END AS confidence, CASE WHEN n.types IS NULL THEN 'old' ELSE 'new' END AS source FROM o FULL JOIN n USING (name)")(
+    lambda s, d: merge.upsert_versioned(_entities(s, d, "p_size < 10", "old", 0.9), _entities(s, d, "p_size between 9 and 12", "new", 0.4)).withColumn("types", F.array_join("types", ",")))
+query("m02_upsert_entities", f"WITH {_SIDES} SELECT name, CASE WHEN o.types IS NULL THEN 'new' ELSE 'old' END AS type, array_to_string(list_sort(list_distinct(coalesce(o.types, []) || coalesce(n.types, []))), ',') AS types, CASE WHEN o.types IS NULL OR n.types IS NULL THEN 1 ELSE 2 END AS version FROM o FULL JOIN n USING (name)")(
+    lambda s, d: merge.upsert_entities(_entities(s, d, "p_size < 10", "old", 0.9), _entities(s, d, "p_size between 9 and 12", "new", 0.4)).withColumn("types", F.array_join("types", ",")))
+query("m08_stamped_relations", WITH + ", n AS (SELECT DISTINCT src, dst, type FROM edges WHERE type = 'SUPPLIES' UNION SELECT 'S1', 'R0', 'NEW' UNION SELECT 'S1', 'Q9', 'NEW') SELECT src, dst, type, CASE WHEN p.edge_id IS NULL THEN 9 ELSE 1 END AS created_at, CASE WHEN n.src IS NULL THEN 1 ELSE 9 END AS updated_at FROM (SELECT * FROM edges WHERE type <> 'ORDERED') p FULL JOIN (SELECT * FROM n WHERE dst <> 'Q9') n USING (src, dst, type)")(
+    lambda s, d: merge.upsert_stamped(model.edges(s, d).where("type <> 'ORDERED'").select("src", "dst", "type", F.lit(1).alias("created_at"), F.lit(1).alias("updated_at")), model.edges(s, d).where("type = 'SUPPLIES'").select("src", "dst", "type").union(s.createDataFrame([("S1", "R0", "NEW"), ("S1", "Q9", "NEW")], "src string, dst string, type string")), model.nodes(s, d), 9))
+query("m04_link_upserts", f"{_MENTIONS}, o AS (SELECT chunk_id, name FROM m WHERE document_id % 2 = 0), n AS (SELECT chunk_id, name FROM m WHERE document_id % 3 = 0) SELECT chunk_id, name FROM o UNION SELECT chunk_id, name FROM n")(
+    lambda s, d: _mentions(s, d).where("document_id % 2 = 0").select("chunk_id", "name").union(_mentions(s, d).where("document_id % 3 = 0").select("chunk_id", "name")).distinct())
+query("m10_version_records", "SELECT doc_id AS document_id, CASE WHEN lang = 'fr' OR lang <> 'de' THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS version, CASE WHEN lang = 'de' THEN 7 ELSE 1 END AS created_at, CASE WHEN lang IN ('en', 'de') THEN 7 ELSE 1 END AS updated_at FROM documents WHERE lang <> 'de'")(
+    lambda s, d: merge.upsert_versions(table(s, d, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("document_id"), F.lit(1).cast("bigint").alias("version"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at")), table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("document_id")), 7))
+query("r09_feedback_ring", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")(lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id"))
+query("n21_context_lines", "SELECT item_id, '  ' || row_number() OVER (ORDER BY item_id) || '. id: ' || item_id || ', text: ' || text AS line FROM benchmark ORDER BY item_id LIMIT 10")(
+    lambda s, d: table(s, d, "benchmark").orderBy("item_id").limit(10).withColumn("k", F.row_number().over(Window.orderBy("item_id"))).select("item_id", F.concat(F.lit("  "), F.col("k").cast("string"), F.lit(". id: "), F.col("item_id").cast("string"), F.lit(", text: "), "text").alias("line")))
+query("t06_list_caps", WITH + " SELECT dst AS node_id, array_to_string(list_sort(list(src))[1:5], ',') AS shown, count(*) AS n FROM place GROUP BY dst")(
+    lambda s, d: retrieval.first_per(model.place_edges(s, d), ["dst"], ["src"], 5).groupBy(F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("shown")).join(model.place_edges(s, d).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n")), "node_id"))

@@ -45,3 +45,25 @@ def new_documents(incoming: DataFrame, known: DataFrame) -> DataFrame:
     x = x.join(known.select("id"), "id", "left_anti").join(known.select("content_hash"), "content_hash", "left_anti")
     first = x.groupBy("content_hash").agg(F.min("id").alias("id"))
     return x.join(first, ["content_hash", "id"], "left_semi")
+
+
+def upsert_versions(old: DataFrame, touched: DataFrame, now: int) -> DataFrame:
+    """Version records(document_id, version, created_at, updated_at): those ``touched(document_id)`` count up, new ones begin at 1."""
+    x = old.alias("o").join(touched.select("document_id").distinct().withColumn("hit", F.lit(True)), "document_id", "full")
+    hit = F.col("hit").isNotNull()
+    return x.select("document_id", (F.coalesce("version", F.lit(0)) + hit.cast("int")).cast("bigint").alias("version"), F.coalesce("created_at", F.lit(now)).alias("created_at"), F.when(hit, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def upsert_stamped(old: DataFrame, new: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
+    """Relations(src, dst, type, created_at, updated_at) by (src, dst, type); new ones need both ends among ``nodes``."""
+    ends = lambda c: nodes.select(F.col("node_id").alias(c)).distinct()
+    fresh = new.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select("src", "dst", "type").distinct().withColumn("hit", F.lit(True))
+    x = old.join(fresh, ["src", "dst", "type"], "full")
+    return x.select("src", "dst", "type", F.coalesce("created_at", F.lit(now)).alias("created_at"), F.when(F.col("hit"), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def upsert_versioned(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities(name, type, types, version, confidence, source): a new row counts the version up, its confidence and source win, types are united, the first type stays."""
+    x, none = old.alias("o").join(new.alias("n"), "name", "full"), F.array().cast("array<string>")
+    hit = F.col("n.type").isNotNull()
+    return x.select("name", F.coalesce("o.type", "n.type").alias("type"), F.array_sort(F.array_union(F.coalesce("o.types", none), F.coalesce("n.types", none))).alias("types"), (F.coalesce("o.version", F.lit(0)) + hit.cast("int")).cast("bigint").alias("version"), F.coalesce("n.confidence", "o.confidence").alias("confidence"), F.coalesce("n.source", "o.source").alias("source"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", ", ", " ")
+#: Fixed values, tried in this order; the empty one stands for a cut at the size.
+SEPARATORS = ("\n\n", "\n", "。", "．", "！", "？", "；", "；\n", ". ", "! ", "? ", "，", "、", "：", " ", "")
 
 
 def clean_text(text: Column) -> Column:
@@ -34,7 +35,7 @@ def split_recursive(text: str, size: int, separators: tuple[str, ...] = SEPARATO
     if len(text) <= size:
         return [text] if text else []
     for k, sep in enumerate(separators):
-        if sep in text:
+        if sep and sep in text:
             parts = [p + sep for p in text.split(sep)]
             parts[-1] = parts[-1][: -len(sep)]
             out, held = [], ""
@@ -85,7 +86,53 @@ def split_paragraphs(text: str, size: int) -> list[str]:
     return out + split_recursive(held, size)
 
 
-SPLITTERS = {"recursive": split_recursive, "markdown": split_markdown, "sentence": split_sentences, "paragraph": split_paragraphs}
+def split_hybrid(text: str, size: int) -> list[str]:
+    """As Markdown where there is a heading's mark or a fence, else recursively."""
+    return split_markdown(text, size) if "#" in text or "```" in text else split_recursive(text, size)
+
+
+def split_headed(text: str, size: int, headings: tuple[str, ...] = ()) -> list[str]:
+    """Sections from heading to heading (any of the patterns ``headings``), long ones further by paragraphs; without headings recursively."""
+    marks = [m.start() for m in re.finditer("|".join(headings), text)] if headings else []
+    if not marks:
+        return split_recursive(text, size)
+    sections = [text[a:b].strip() for a, b in zip([0, *marks], [*marks, len(text)])]
+    return [p for s in sections if s for p in ([s] if len(s) <= size else split_paragraphs(s, size))]
+
+
+def split_hierarchical(text: str, size: int, parent: int = 1024) -> list[str]:
+    """Parents of whole paragraphs of at least ``parent`` characters (the last may be shorter), each followed by its children: whole sentences of at least ``size``."""
+    out, held = [], []
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    for k, paragraph in enumerate(paragraphs):
+        held.append(paragraph)
+        whole = "\n\n".join(held)
+        if len(whole) >= parent or k == len(paragraphs) - 1:
+            out.append(whole)
+            child, sentences = "", [x for x in re.split(r"(?<=[。！？；.!?])\s+", whole) if x.strip()]
+            for j, sentence in enumerate(sentences):
+                child += sentence
+                if len(child) >= size or j == len(sentences) - 1:
+                    out.append(child)
+                    child = ""
+            held = []
+    return out
+
+
+def split_streaming(text: str, size: int, overlap: int = 75, back: int = 100) -> list[str]:
+    """Windows ``size - overlap`` apart, each ending after the last sentence's end within its last ``back`` characters, if there is one."""
+    out = []
+    for at in range(0, len(text), max(1, size - overlap)):
+        end = min(at + size, len(text))
+        if end < len(text):
+            region = text[max(at, end - back) : end]
+            last = max(region.rfind(c) for c in "。！？；\n.!?;\r")
+            end = end if last < 0 else end - len(region) + last + 1
+        out.append(text[at:end].strip())
+    return out
+
+
+SPLITTERS = {"recursive": split_recursive, "markdown": split_markdown, "sentence": split_sentences, "paragraph": split_paragraphs, "hybrid": split_hybrid, "hierarchical": split_hierarchical, "streaming": split_streaming}
 
 
 def choose_strategy(text: Column) -> Column:
@@ -93,6 +140,40 @@ def choose_strategy(text: Column) -> Column:
     return F.when(F.regexp_count(text, F.lit(r"(?m)^#{1,6} ")) >= 3, "markdown").when((F.length(text) > 5000) & F.contains(text, F.lit("\n\n")), "paragraph").otherwise("recursive")
 
 
+def select_strategy(text: Column, sections: str | None = None) -> Column:
+    """section (if one of the words ``sections`` is there), markdown for three headings, semantic for long texts without clear structure, hierarchical for headings of two levels, else recursive."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    clear = F.regexp_like(text, F.lit(r"第[一二三四五六七八九十\d]+[章节部分篇]|【.+】|\d+\.\s+[A-Z\x{4e00}-\x{9fff}]"))
+    one, two, three = (count(rf"(?m)^{'#' * k}\s+") > 0 for k in (1, 2, 3))
+    out = F.when(count(r"(?m)^#{1,6}\s+.+$") >= 3, "markdown").when((F.length(text) > 5000) & ~clear, "semantic").when((one & two) | (two & three), "hierarchical").otherwise("recursive")
+    return F.when(F.regexp_like(text, F.lit(sections)), "section").otherwise(out) if sections else out
+
+
+def contextual(chunks: DataFrame, contexts: DataFrame, longest: int = 200) -> DataFrame:
+    """``chunks`` whose content begins with the context of their document (``contexts(document_id, context)``), cut to ``longest`` characters; without one they stay."""
+    x = chunks.join(contexts, "document_id", "left")
+    said = F.concat(F.lit("[上下文] "), F.substring(F.regexp_replace(F.trim("context"), "^[\"']+|[\"']+$", ""), 1, longest), F.lit("\n"), "content")
+    return x.withColumn("content", F.coalesce(said, "content")).drop("context")
+
+
+def pattern_mentions(texts: DataFrame, patterns: list[tuple[str, str, float]], id_col: str, text_col: str) -> DataFrame:
+    """(id, name, type, start, end, confidence, strategy) of every distinct match of ``patterns(pattern, type, confidence)`` at its first place."""
+    out = None
+    for pattern, kind, confidence in patterns:
+        found = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))).alias("name")
+        one = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), found).where("name <> ''")
+        one = one.select("id", "name", F.lit(kind).alias("type"), (F.instr(F.col("t"), F.col("name")) - 1).alias("start"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("strategy"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("end", F.col("start") + F.length("name"))
+
+
+def extracted(mentions: DataFrame) -> DataFrame:
+    """The pipeline over the strategies' mentions: in each document one row for each (name, type) with a raised confidence, then no two that overlap."""
+    raised = F.element_at(F.array(F.lit(0.0), F.lit(0.03), F.lit(0.05), F.lit(0.08)), F.least(F.col("k"), F.lit(4)).cast("int"))
+    x = mentions.groupBy("id", F.lower("name").alias("name"), "type").agg(F.max("confidence").alias("c"), F.countDistinct("strategy").alias("k"), F.min(F.struct("start", "end")).alias("at"))
+    return non_overlapping(x.select("id", "name", F.col("at.start").alias("start"), F.col("at.end").alias("end"), F.round(F.least(F.lit(1.0), F.col("c") + raised), 6).alias("confidence")))
+
+
 def split_documents(docs: DataFrame, size: int = 512, strategy: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks by one strategy, or by the one chosen for each text; blank chunks are skipped and the index is dense."""
 
