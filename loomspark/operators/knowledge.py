@@ -5,6 +5,8 @@ Dictionaries are DataFrames that the caller brings; a side is broadcast only if
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def decompose(question: Column, conjunctions: list[str]) -> Column:
     """The parts of a question at the first conjunction of the list that it holds; blank parts out, the whole if there is none."""
     out = F.array(question)
     for word in reversed(conjunctions):
-        parts = F.filter(F.transform(F.split(question, F.lit(word).cast("string"), -1) if word.isalnum() else F.split(question, word, -1), lambda p: F.trim(p)), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(question, re.escape(word), -1), lambda p: F.trim(p)), lambda p: p != "")
         out = F.when(F.contains(question, F.lit(word)), parts).otherwise(out)
     return out
 
