@@ -120,9 +120,14 @@ def _layout(own: Column) -> Column:
     return F.when(exact.isin([*BY_FINGERPRINT]), exact).otherwise(choice)
 
 
+def _once(column: Column) -> Column:
+    """The column as a generated one: later filters on it stay above, and so don't compute it again for each time they name it."""
+    return F.explode(F.array(column))
+
+
 def _read(df: DataFrame, record_col: str) -> DataFrame:
-    record = F.col(record_col)
-    return df.select(record.alias("record"), record_paths(record).alias("own")).select("record", _layout(F.col("own")).alias("layout"))
+    record = df.select(F.col(record_col).alias("record"))
+    return record.withColumn("own", _once(record_paths(F.col("record")))).withColumn("layout", _once(_layout(F.col("own")))).select("record", "layout")
 
 
 def unmapped_records(df: DataFrame, record_col: str) -> DataFrame:
@@ -140,8 +145,8 @@ def canonical_records(df: DataFrame, record_col: str) -> DataFrame:
     for m in MAPPINGS:
         turns = each.format(m.turns) if m.turns else "array(named_struct('turn', turn, 'role', role, 'text', text))"
         choice = F.when(F.col("layout") == m.fingerprint, F.expr(turns)).otherwise(choice)
-    read = _read(df, record_col).where("layout is not null").select("layout", F.from_json("record", RECORD, {"maxStringLen": "2147483647"}).alias("r")).select("layout", "r.*")
-    return read.select("conv_id", F.explode(choice).alias("m")).select("conv_id", "m.turn", "m.role", "m.text")
+    read = _read(df, record_col).where("layout is not null").select("layout", _once(F.from_json("record", RECORD, {"maxStringLen": "2147483647"})).alias("r")).select("layout", "r.*")
+    return read.select("conv_id", _once(choice).alias("turns")).select("conv_id", F.explode("turns").alias("m")).select("conv_id", "m.turn", "m.role", "m.text")
 
 
 # --- template ---------------------------------------------------------------------------------------------------------
