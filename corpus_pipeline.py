@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import written
+from loomspark.llm.common import dropped, written
 from loomspark.llm.jaccard import jaccard_components
 from loomspark.llm.lines import dedup_lines
 from loomspark.llm.mixing import mix_sources
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(before)  # a stage's table goes when the next one's is there; documents itself is no such table
     return STAGES[-1][1](spark, docs, sf_dir)
