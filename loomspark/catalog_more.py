@@ -307,6 +307,8 @@ query("x15_contextual", f"{_CHUNKS} SELECT chunk_id, md5('[上下文] ' || left(
 _PATTERNS = [(r"[0-9]{3,}", "Number", 0.75), (r"[A-Z][a-z]{9,}", "Name", 0.7), (r"[0-9]+\.[0-9]+", "Decimal", 0.8), (r"[A-Za-z]{12,}", "Name", 0.6)]
 query("n04_pattern_entities", "SELECT id, name, type, strpos(text, name) - 1 AS start FROM (" + " UNION ALL ".join(f"SELECT doc_id AS id, text, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS name, '{t}' AS type FROM documents" for p, t, _ in _PATTERNS) + ")")(
     lambda s, d: text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text").select("id", "name", "type", "start"))
+for _how in text.REPEATING:
+    query(f"x0_split_{_how}")(lambda s, d, how=_how: text.split_documents(table(s, d, "documents"), 512, how))
 query("n07_extract")(lambda s, d: text.extracted(text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text")))
 
 

@@ -132,7 +132,9 @@ def split_streaming(text: str, size: int, overlap: int = 75, back: int = 100) ->
     return out
 
 
-SPLITTERS = {"recursive": split_recursive, "markdown": split_markdown, "sentence": split_sentences, "paragraph": split_paragraphs, "hybrid": split_hybrid, "hierarchical": split_hierarchical, "streaming": split_streaming}
+SPLITTERS = {"recursive": split_recursive, "markdown": split_markdown, "sentence": split_sentences, "paragraph": split_paragraphs, "hybrid": split_hybrid}
+#: These give some of the text more than once: in a parent and its children, or where windows overlap.
+REPEATING = {"hierarchical": split_hierarchical, "streaming": split_streaming}
 
 
 def choose_strategy(text: Column) -> Column:
@@ -181,7 +183,7 @@ def split_documents(docs: DataFrame, size: int = 512, strategy: str | None = Non
         for pdf in batches:
             rows = []
             for doc, text, how in zip(pdf["id"], pdf["text"], pdf["how"]):
-                for k, part in enumerate(p for p in SPLITTERS[how](text or "", size) if p.strip()):
+                for k, part in enumerate(p for p in {**SPLITTERS, **REPEATING}[how](text or "", size) if p.strip()):
                     rows.append((f"{doc}_chunk_{k}", doc, how, k, part))
             yield pd.DataFrame(rows, columns=["chunk_id", "document_id", "strategy", "chunk_index", "content"])
 
