@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,36 +111,39 @@ def modularity(graph: DataFrame, partition: DataFrame) -> DataFrame:
 def communities(graph: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, community) by label spreading to a fixed point: no label weighs more among a node's neighbours than its own.
 
-    In each round the nodes of one part, drawn anew by hash, go over to the heaviest label around them if it beats their own, ties to the least.
-    A part is a quarter, so that two sides of a graph don't swap labels for ever, and half once few nodes want to move. RuntimeError if ``rounds`` don't settle it. Labels are pre-summed by
-    (node, label) before the choice, so a hub's neighbours are never gathered in one row.
+    A node wants the heaviest label around it, ties to the least, if that beats its own. In each round those go over that
+    gain most among the neighbours who want to move as well (ties by a hash drawn anew). No two of them are neighbours, so
+    the weight inside communities rises by the sum of their gains and labels can't swing back. RuntimeError if ``rounds``
+    don't settle it. Labels are pre-summed by (node, label) before the choice, so a hub's neighbours are never gathered in
+    one row. An empty graph gives an empty table.
     """
     both = _cut(graph.select("u", "v", "weight").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
-    parts = 4
     for k in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
         mine = votes.join(labels.select(F.col("node").alias("u"), F.col("community").alias("own")), "u")
         best = mine.groupBy(F.col("u").alias("node"), "own").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0)).alias("held"))
-        wants = best.select("node", "own", F.col("best.community").alias("next"), (-F.col("best.w") > F.col("held")).alias("wants"))
-        moves = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(parts)) == 0)
-        state = _cut(wants.select("node", F.when(moves, F.col("next")).otherwise(F.col("own")).alias("community"), "wants"))
-        labels = state.select("node", "community")
-        nodes, wanting = state.agg(F.count("*"), F.count_if("wants")).first()
-        if not wanting:
-            return labels
-        parts = 2 if wanting * 16 < nodes else 4
+        state = _cut(best.select("node", "own", F.col("best.community").alias("next"), (-F.col("best.w") - F.col("held")).alias("gain")))
+        wanting = state.where("gain > 0").select("node", F.struct("gain", F.xxhash64("node", F.lit(k)).alias("draw"), "node").alias("rank"))
+        if not wanting.limit(1).count():
+            return state.select("node", F.col("own").alias("community"))
+        rivals = both.join(wanting.select(F.col("node").alias("u"), "rank"), "u").join(wanting.select(F.col("node").alias("v"), F.col("rank").alias("other")), "v")
+        waiting = rivals.where("other > rank").select(F.col("u").alias("node"), F.lit(True).alias("waits")).distinct()
+        moves = (F.col("gain") > 0) & F.col("waits").isNull()
+        labels = _cut(state.join(waiting, "node", "left").select("node", F.when(moves, F.col("next")).otherwise(F.col("own")).alias("community")))
     raise RuntimeError(f"communities have not settled after {rounds} rounds")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written in the checkpoint folder, where its lineage ends."""
+    """``df`` as a table written in the checkpoint folder, where its lineage ends."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def community_sizes(partition: DataFrame, limit: int | None = None) -> DataFrame:
