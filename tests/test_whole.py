@@ -117,6 +117,13 @@ def test_communities_settle(spark):
         graph.communities(g, rounds=1)
 
 
+def test_communities_of_a_hub_and_of_no_edges(spark):
+    g = spark.createDataFrame([("hub", f"leaf{k:03}", 1) for k in range(200)], "u string, v string, weight bigint")
+    rows = graph.communities(g, rounds=10).collect()
+    assert len(rows) == 201 and len({r.community for r in rows}) == 1
+    assert graph.communities(g.limit(0)).collect() == []
+
+
 def test_detected_communities_of_all_edges(spark, sf_dir):
     parts = catalog.QUERIES["g02_communities"](spark, sf_dir).cache()
     g = graph.simple_graph(model.edges(spark, sf_dir)).cache()
