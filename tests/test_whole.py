@@ -124,6 +124,15 @@ def test_communities_of_a_hub_and_of_no_edges(spark):
     assert graph.communities(g.limit(0)).collect() == []
 
 
+def test_two_cliques_contract_to_one_edge(spark):
+    cliques = [(f"{c}{i}", f"{c}{j}", 3) for c in "ab" for i in range(5) for j in range(i + 1, 5)]
+    g = spark.createDataFrame([*cliques, ("a0", "b0", 1), ("a1", "b1", 2)], "u string, v string, weight bigint")
+    parts = graph.communities(g)
+    found = {r.node: r.community for r in parts.collect()}
+    assert {n[0] for n in found} == {"a", "b"} and len({(n[0], c) for n, c in found.items()}) == len(set(found.values())) == 2
+    assert [r.weight for r in graph.contracted(g, parts).collect()] == [3]
+
+
 def test_detected_communities_of_all_edges(spark, sf_dir):
     parts = catalog.QUERIES["g02_communities"](spark, sf_dir).cache()
     g = graph.simple_graph(model.edges(spark, sf_dir)).cache()
