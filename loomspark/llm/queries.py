@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.alignment import align_tokens
 from loomspark.llm.chat import canonical_records, format_chats, read_chats
 from loomspark.llm.jaccard import jaccard_components
 from loomspark.llm.lines import dedup_lines
@@ -91,7 +92,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), digest(F.array_join(F.col("piece_ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_quality_rules, op4_mixing, op5_substring_dedup, op6_chat_formatting, op7_token_counts, op8_embedding_near_dedup, op9_line_dedup, op10_sentencepiece)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(_read(spark, sf_dir, "documents"), kept=lambda groups: F.when(groups == "", "").otherwise(digest(groups)))
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_quality_rules, op4_mixing, op5_substring_dedup, op6_chat_formatting, op7_token_counts, op8_embedding_near_dedup, op9_line_dedup, op10_sentencepiece, op11_tokenizer_alignment)}
 
 _LOW = "translate(trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CONTROL = r"([<\[])(~*)(/?s>|/?INST\]|\|im_start\|>|\|im_end\|>)"
