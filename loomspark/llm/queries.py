@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.alignment import align_tokens
 from loomspark.llm.chat import canonical_records, format_chats, read_chats
+from loomspark.llm.divergence import source_divergence
 from loomspark.llm.jaccard import jaccard_components
+from loomspark.llm.licenses import scan_licenses
 from loomspark.llm.lines import dedup_lines
 from loomspark.llm.mixing import mix_sources
 from loomspark.llm.passages import remove_repeats
@@ -97,7 +99,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumnRenamed("groups", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_quality_rules, op4_mixing, op5_substring_dedup, op6_chat_formatting, op7_token_counts, op8_embedding_near_dedup, op9_line_dedup, op10_sentencepiece, op11_tokenizer_alignment)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_read(spark, sf_dir, "documents"), least_docs=30, ranks=50)
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_quality_rules, op4_mixing, op5_substring_dedup, op6_chat_formatting, op7_token_counts, op8_embedding_near_dedup, op9_line_dedup, op10_sentencepiece, op11_tokenizer_alignment, op12_source_divergence, op13_license_scans)}
 
 _LOW = "translate(trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CONTROL = r"([<\[])(~*)(/?s>|/?INST\]|\|im_start\|>|\|im_end\|>)"
@@ -122,4 +132,20 @@ m AS (SELECT l.*, k.key IS NOT NULL AND keeper <> doc_id AS gone FROM l LEFT JOI
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(total) AS size FROM k GROUP BY lang),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS size FROM f GROUP BY ALL),
+p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (CAST(1000000000 AS HUGEINT) * (f.n + 5)) // CAST(s.size + 5 * v.v AS HUGEINT) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (f.total + 5)) // CAST(v.size + 5 * v.v AS HUGEINT) AS q
+  FROM f JOIN s USING (lang, source) JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+z AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM y)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 50""",
 }
