@@ -7,7 +7,9 @@ with their code. Texts are encoded once, into a table of packed ids; everything
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,12 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Text that is encoded, and bytes of token text that are linked, at a time in a task.
 ENCODE_CHARS, LINK_BYTES = 1 << 20, 4 << 20
+#: Bytes that a task's memory of encoded runs may take; beyond, it starts anew.
+MEMO_BYTES = 96 << 20
+#: Where a text may be cut before encoding: at a space alone between two characters that are no space of any kind, if no piece of B
+#: goes on after a word's end. A's pattern begins a token there, and no merge of B crosses it.
+_BLANK = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u2581\u3000\ufeff"
+CUT = re.compile(f"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
 #: Distinct pairs that a task holds before it hands on their counts.
 HELD = 1 << 20
 #: A link's pair as one number: A's id above this many bits, B's below.
@@ -41,6 +49,8 @@ class Tokens:
         for token, i in a.get_vocab().items():
             self.spelt_a[i] = bytes(octet[c] for c in token) if all(c in octet for c in token) else token.encode()
         self.spelt_b = [bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(b.get_piece_size())]
+        alone = a.normalizer is None and "ByteLevel(add_prefix_space=False" in str(a.pre_tokenizer) and "use_regex=True" in str(a.pre_tokenizer)
+        self.by_run = alone and not any(SPACE in b.id_to_piece(i).lstrip(SPACE) for i in range(b.get_piece_size()))
         self.dtype = np.dtype("<u2") if max(len(self.spelt_a), len(self.spelt_b)) <= 1 << 16 else np.dtype("<u4")
 
     def load(self):
@@ -61,28 +71,58 @@ def _octets() -> dict[str, int]:
     return {chr(k): k for k in shown} | {chr(256 + n): k for n, k in enumerate(hidden)}
 
 
+class Encoder:
+    """Packed ids of both sides, run by run: each distinct run between two cuts is encoded once as long as memory allows."""
+
+    def __init__(self, tokens: Tokens):
+        self.tokens, (self.a, self.b) = tokens, tokens.load()
+        self.packed_a: dict[str, bytes] = {}
+        self.packed_b: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # runs that one side doesn't spell
+        self.size = 0
+
+    def learn(self, runs: list[str]) -> None:
+        want = [b" " + r.encode() for r in runs]
+        encoded = [x.ids for x in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)], self.b.encode(runs, num_threads=1)
+        for ids, packed, spelt in zip(encoded, (self.packed_a, self.packed_b), (self.tokens.spelt_a, self.tokens.spelt_b)):
+            ends = np.cumsum([0, *map(len, ids)]).tolist()
+            flat = np.fromiter(chain.from_iterable(ids), self.tokens.dtype, ends[-1])
+            raw, width = flat.tobytes(), self.tokens.dtype.itemsize
+            packed.update(zip(runs, [raw[lo * width : hi * width] for lo, hi in zip(ends, ends[1:])]))
+            said = [b"".join([spelt[i] for i in x]) for x in ids]
+            if said != want:
+                self.odd.update(r for r, x, w in zip(runs, said, want) if x != w)
+            self.size += 180 * len(runs) + len(raw)
+        self.size += sum(map(len, want))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        if self.size > MEMO_BYTES:
+            for memo in (self.packed_a, self.packed_b, self.odd):
+                memo.clear()
+            self.size = 0
+        runs = [(CUT.split(t) if self.tokens.by_run else [t]) if t else [] for t in texts]
+        new = set().union(*runs).difference(self.packed_a)
+        if new:
+            self.learn(sorted(new))
+        known_a, known_b, odd = self.packed_a.__getitem__, self.packed_b.__getitem__, self.odd
+        return [(b"", b"") if odd and not odd.isdisjoint(r) else (b"".join(map(known_a, r)), b"".join(map(known_b, r))) for r in runs]
+
+
 def _encoded(tokens: Tokens, names: list[str]):
     """(row, id, text) to (row, id, n_a, n_b, a_ids, b_ids); ids are packed in ``tokens.dtype``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokens.load()
-        sa, sb, kind = tokens.spelt_a, tokens.spelt_b, tokens.dtype
+        encoder, width = Encoder(tokens), tokens.dtype.itemsize
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
             sizes = np.cumsum([0, *map(len, texts)])
             at = 0
             while at < len(texts):
                 end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + ENCODE_CHARS, "right")) - 1)
-                part = texts[at:end]
-                pairs = []
-                for text, x, y in zip(part, a.encode_batch_fast([" " + t for t in part], add_special_tokens=False), b.encode(part, num_threads=1)):
-                    x, want = x.ids, b" " + text.encode()
-                    same = text and b"".join([sa[i] for i in x]) == want and b"".join([sb[i] for i in y]) == want
-                    pairs.append((x, y) if same else ([], []))
-                count = lambda k: pa.array([len(p[k]) for p in pairs], pa.int64())
-                packed = lambda k: pa.array([np.array(p[k], kind).tobytes() for p in pairs], pa.binary())
+                a, b = zip(*encoder.encode(texts[at:end]))
                 here = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), count(0), count(1), packed(0), packed(1)], names)
+                count = lambda ids: pa.array([len(x) // width for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), count(a), count(b), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names)
                 at = end
 
     return run

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from loomspark.llm import queries
-from loomspark.llm.alignment import Block, Tokens, align_tokens
+from loomspark.llm.alignment import Block, Encoder, Tokens, align_tokens
 
 ODD = [None, "", " ", "▁", "a ▁b", "<|endoftext|> <s></s>", "\n\n\t x\r\n", "日本語 тест 𝒳𝒴", "é́", "word " * 3000, "x" * 20_000, "a\x00b", "  two  spaces ", "ñandú über ÇA"]
 
@@ -99,3 +99,15 @@ def test_union_find_joins_what_overlaps():
         assert of_a.tolist() == np.searchsorted(both, ea, "left").tolist() and of_b.tolist() == np.searchsorted(both, eb, "left").tolist()
         want = {(i, j) for i in range(len(a)) for j in range(len(b)) if ea[i] - a[i] < eb[j] and eb[j] - b[j] < ea[i]}
         assert set(zip(block.at_a.tolist(), block.at_b.tolist())) == want and len(block.at_a) == len(want)
+
+
+def test_runs_are_encoded_as_in_the_whole_text(tokens):
+    """Cut texts give the ids of whole ones, white space of all kinds and their mixtures included."""
+    rnd, encoder = random.Random(7), Encoder(tokens)
+    assert tokens.by_run
+    odd = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "\ufeff", "'s", "'", "a", "word", "1", "23", "é", "日", "▁", "-", "...", "<s>", "\u0301", "\x00", "𝒳"]
+    texts = ["".join(rnd.choices(odd, weights=[30, *[2] * (len(odd) - 1)], k=rnd.randrange(1, 30))) for _ in range(4000)]
+    for text, (a, b) in zip(texts, encoder.encode(texts)):
+        x, y = encoder.a.encode(" " + text, add_special_tokens=False).ids, encoder.b.encode(text)
+        same = all(b"".join(spelt[i] for i in ids) == b" " + text.encode() for spelt, ids in ((tokens.spelt_a, x), (tokens.spelt_b, y)))
+        assert (np.frombuffer(a, tokens.dtype).tolist(), np.frombuffer(b, tokens.dtype).tolist()) == ((x, y) if same else ([], [])), repr(text)
