@@ -29,6 +29,10 @@ MEMO_BYTES = 96 << 20
 #: goes on after a word's end. A's pattern begins a token there, and no merge of B crosses it.
 _BLANK = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u2581\u3000\ufeff"
 CUT = re.compile(f"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
+#: Runs that can't be cut again from others: blank at an end, or with B's mark for a space, which it doesn't spell.
+RAGGED = re.compile(f"\\A[{_BLANK}]|[{_BLANK}]\\Z|\u2581")
+#: New runs that are encoded as one text.
+JOINED = 256
 #: Distinct pairs that a task holds before it hands on their counts.
 HELD = 1 << 20
 #: A link's pair as one number: A's id above this many bits, B's below.
@@ -79,21 +83,27 @@ class Encoder:
         self.packed_a: dict[str, bytes] = {}
         self.packed_b: dict[str, bytes] = {}
         self.odd: set[str] = set()  # runs that one side doesn't spell
-        self.size = 0
+        self.size, self.sizes = 0, _sizes(tokens)
 
-    def learn(self, runs: list[str]) -> None:
+    def learn(self, runs: list[str], together: int) -> None:
+        """Encodes new runs, some ``together`` as one text that is cut again where they end; one by one if a side doesn't spell all of it."""
         want = [b" " + r.encode() for r in runs]
-        encoded = [x.ids for x in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)], self.b.encode(runs, num_threads=1)
-        for ids, packed, spelt in zip(encoded, (self.packed_a, self.packed_b), (self.tokens.spelt_a, self.tokens.spelt_b)):
-            ends = np.cumsum([0, *map(len, ids)]).tolist()
-            flat = np.fromiter(chain.from_iterable(ids), self.tokens.dtype, ends[-1])
-            raw, width = flat.tobytes(), self.tokens.dtype.itemsize
-            packed.update(zip(runs, [raw[lo * width : hi * width] for lo, hi in zip(ends, ends[1:])]))
-            said = [b"".join([spelt[i] for i in x]) for x in ids]
-            if said != want:
-                self.odd.update(r for r, x, w in zip(runs, said, want) if x != w)
+        texts = [" ".join(runs[k : k + together]) for k in range(0, len(runs), together)]
+        encoded = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        whole = b"".join(want)
+        for ids, packed, spelt, size in zip(encoded, (self.packed_a, self.packed_b), (self.tokens.spelt_a, self.tokens.spelt_b), self.sizes):
+            flat = np.fromiter(chain.from_iterable(ids), self.tokens.dtype)
+            if b"".join(map(spelt.__getitem__, flat.tolist())) == whole:
+                ends = np.searchsorted(np.concatenate([[0], np.cumsum(size[flat])]), np.cumsum([0, *map(len, want)]))
+            elif together > 1:
+                return self.learn(runs, 1)
+            else:
+                self.odd.update(r for r, x, w in zip(runs, ids, want) if b"".join([spelt[i] for i in x]) != w)
+                ends = np.cumsum([0, *map(len, ids)])
+            raw, ends = flat.tobytes(), (ends * self.tokens.dtype.itemsize).tolist()
+            packed.update(zip(runs, [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]))
             self.size += 180 * len(runs) + len(raw)
-        self.size += sum(map(len, want))
+        self.size += len(whole)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         if self.size > MEMO_BYTES:
@@ -103,7 +113,9 @@ class Encoder:
         runs = [(CUT.split(t) if self.tokens.by_run else [t]) if t else [] for t in texts]
         new = set().union(*runs).difference(self.packed_a)
         if new:
-            self.learn(sorted(new))
+            ragged = {r for r in new if RAGGED.search(r)} if self.tokens.by_run else new
+            self.learn(sorted(new - ragged), JOINED)
+            self.learn(sorted(ragged), 1)
         known_a, known_b, odd = self.packed_a.__getitem__, self.packed_b.__getitem__, self.odd
         return [(b"", b"") if odd and not odd.isdisjoint(r) else (b"".join(map(known_a, r)), b"".join(map(known_b, r))) for r in runs]
 
