@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.operators import fusion, graph, merge, quality, retrieval, rollup, text
+from loomspark.operators import community, fusion, graph, merge, quality, retrieval, rollup, text
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
@@ -53,21 +53,20 @@ query("j01_typed_hop", WITH + " SELECT a.name AS nation, b.name AS region FROM p
 query("j02_co_occurrence", WITH + " SELECT b.src AS other, string_agg(DISTINCT b.dst, ',' ORDER BY b.dst) AS shared, count(DISTINCT b.dst) AS n_shared FROM trade a JOIN trade b ON a.dst = b.dst AND b.type = a.type WHERE a.src = 'S1' AND a.type = 'SUPPLIES' AND b.src <> 'S1' GROUP BY b.src")(
     lambda s, d: graph.co_occurring(model.trade_edges(s, d), "SUPPLIES", "S1"))
 
-_WALK = """, steps AS (SELECT edge_id, src AS pt, dst AS nxt, type FROM place UNION ALL SELECT edge_id, dst, src, type FROM place WHERE src <> dst),
+_WALK = """, steps AS (SELECT edge_id, src AS pt, dst AS nxt, type FROM edges UNION ALL SELECT edge_id, dst, src, type FROM edges WHERE src <> dst),
  walk AS (SELECT '{0}' AS start, '{0}' AS pt, 0 AS hops, ['{0}'] AS path, CAST([] AS VARCHAR[]) AS types, CAST([] AS VARCHAR[]) AS ids
  UNION ALL SELECT start, s.nxt, hops + 1, list_append(path, s.nxt), list_append(types, s.type), list_append(ids, s.edge_id) FROM walk w JOIN steps s ON s.pt = w.pt WHERE hops < {1} AND NOT list_contains(ids, s.edge_id)),
  t AS (SELECT * FROM walk WHERE hops > 0)"""
 query("j03_expand", WITH + _WALK.format("R0", 2) + " SELECT pt AS \"end\", hops, array_to_string(path, ',') AS path, types[1] AS first_type FROM t")(
-    lambda s, d: graph.expand(model.place_edges(s, d), seed(s, "R0"), 2).select("end", "hops", F.array_join("path", ",").alias("path"), F.col("types")[0].alias("first_type")))
-query("j04_find_paths", WITH + _WALK.format("N1", 3) + " SELECT hops, array_to_string(path, ',') AS path FROM t WHERE pt = 'N6' ORDER BY hops, path LIMIT 5")(lambda s, d: graph.find_paths(model.place_edges(s, d), seed(s, "N1"), "N6"))
+    lambda s, d: graph.expand(model.edges(s, d), seed(s, "R0"), 2).select("end", "hops", F.array_join("path", ",").alias("path"), F.col("types")[0].alias("first_type")))
+query("j04_find_paths", WITH + _WALK.format("N1", 3) + " SELECT hops, array_to_string(path, ',') AS path FROM t WHERE pt = 'N6' ORDER BY hops, path LIMIT 5")(lambda s, d: graph.find_paths(model.edges(s, d), seed(s, "N1"), "N6"))
 query("j05_multi_hop", WITH + _WALK.format("N3", 3) + " SELECT pt AS \"end\", label, hops, array_to_string(types, ',') AS types, count(*) AS frequency FROM t JOIN nodes ON node_id = pt WHERE label IN ('Region', 'Nation', 'Customer') GROUP BY ALL")(
-    lambda s, d: graph.multi_hop(model.place_edges(s, d), model.nodes(s, d), seed(s, "N3"), 3, labels=["Region", "Nation", "Customer"]))
-query("j06_related", WITH + _WALK.format("N2", 2) + " SELECT first_type, string_agg(e, ',' ORDER BY e) AS entities, count(*) AS n FROM (SELECT DISTINCT types[1] AS first_type, pt AS e FROM t WHERE pt <> start) GROUP BY first_type")(lambda s, d: graph.related(model.place_edges(s, d), seed(s, "N2")))
-query("j07_ego_network", WITH + _WALK.format("R2", 2) + " SELECT DISTINCT unnest(path) AS node_id FROM t")(lambda s, d: graph.ego_network(model.place_edges(s, d), seed(s, "R2"), 2)[0])
-query("j08_ego_union", WITH + " SELECT DISTINCT edge_id FROM place WHERE src IN ('N1', 'R3', 'C1') OR dst IN ('N1', 'R3', 'C1')")(lambda s, d: graph.ego_network(model.place_edges(s, d), seed(s, "N1", "R3", "C1"), 1)[1])
-query("j08_ego_union_all", WITH + " SELECT DISTINCT edge_id FROM edges WHERE src IN ('N1', 'R3', 'C1') OR dst IN ('N1', 'R3', 'C1')")(lambda s, d: graph.ego_network(model.edges(s, d), seed(s, "N1", "R3", "C1"), 1)[1])
-query("j09_node_detail", WITH + " SELECT node_id, label, name, (SELECT coalesce(string_agg(src, ',' ORDER BY src), '') FROM place WHERE dst = 'N4') AS incoming, (SELECT coalesce(string_agg(dst, ',' ORDER BY dst), '') FROM place WHERE src = 'N4') AS outgoing FROM nodes WHERE node_id = 'N4'")(
-    lambda s, d: graph.node_detail(model.nodes(s, d), model.place_edges(s, d), "N4"))
+    lambda s, d: graph.multi_hop(model.edges(s, d), model.nodes(s, d), seed(s, "N3"), 3, labels=["Region", "Nation", "Customer"]))
+query("j06_related", WITH + _WALK.format("N2", 2) + " SELECT first_type, string_agg(e, ',' ORDER BY e) AS entities, count(*) AS n FROM (SELECT DISTINCT types[1] AS first_type, pt AS e FROM t WHERE pt <> start) GROUP BY first_type")(lambda s, d: graph.related(model.edges(s, d), seed(s, "N2")))
+query("j07_ego_network", WITH + _WALK.format("R2", 2) + " SELECT DISTINCT unnest(path) AS node_id FROM t")(lambda s, d: graph.ego_network(model.edges(s, d), seed(s, "R2"), 2)[0])
+query("j08_ego_union", WITH + " SELECT DISTINCT edge_id FROM edges WHERE src IN ('N1', 'R3', 'C1') OR dst IN ('N1', 'R3', 'C1')")(lambda s, d: graph.ego_network(model.edges(s, d), seed(s, "N1", "R3", "C1"), 1)[1])
+query("j09_node_detail", WITH + " SELECT node_id, label, name, (SELECT coalesce(string_agg(src, ',' ORDER BY src), '') FROM edges WHERE dst = 'N4') AS incoming, (SELECT coalesce(string_agg(dst, ',' ORDER BY dst), '') FROM edges WHERE src = 'N4') AS outgoing FROM nodes WHERE node_id = 'N4'")(
+    lambda s, d: graph.node_detail(model.nodes(s, d), model.edges(s, d), "N4"))
 _DEG = ", ends AS (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges), deg AS (SELECT n.*, (CASE WHEN c IS NULL THEN 0 ELSE c END)::BIGINT AS degree FROM nodes n LEFT JOIN (SELECT node_id, count(*) AS c FROM ends GROUP BY 1) USING (node_id))"
 query("a03_degree", WITH + _DEG + " SELECT * FROM deg")(lambda s, d: graph.degrees(model.nodes(s, d), model.edges(s, d)))
 query("j10_induced_page", WITH + _DEG + ", page AS (SELECT * FROM deg ORDER BY degree DESC, node_id LIMIT 50 OFFSET 5) SELECT edge_id, src, dst, type FROM edges WHERE src IN (SELECT node_id FROM page) AND dst IN (SELECT node_id FROM page)")(
@@ -79,30 +78,48 @@ query("j18_typed_collect", WITH + " SELECT dst AS node_id, count(*) AS n, string
 query("j19_two_hop_chain", WITH + " SELECT DISTINCT a.src AS a, b.dst AS c FROM place a JOIN place b ON a.dst = b.src WHERE a.type = 'IN_NATION' AND b.type = 'IN_REGION' AND a.src <> b.dst")(
     lambda s, d: model.place_edges(s, d).where("type = 'IN_NATION'").select(F.col("src").alias("a"), F.col("dst").alias("m")).join(model.place_edges(s, d).where("type = 'IN_REGION'").select(F.col("src").alias("m"), F.col("dst").alias("c")), "m").where("a <> c").select("a", "c").distinct())
 query("j20_relation_rollup", WITH + " SELECT type, count(*) AS n, count(DISTINCT dst) AS n_targets FROM edges GROUP BY type")(lambda s, d: model.edges(s, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("n_targets")))
-query("j25_connected", WITH + " SELECT DISTINCT CASE WHEN src = 'N7' THEN dst ELSE src END AS node_id FROM place WHERE src = 'N7' OR dst = 'N7'")(lambda s, d: graph.connected_nodes(model.place_edges(s, d), "N7"))
+query("j25_connected", WITH + " SELECT DISTINCT CASE WHEN src = 'N7' THEN dst ELSE src END AS node_id FROM edges WHERE src = 'N7' OR dst = 'N7'")(lambda s, d: graph.connected_nodes(model.edges(s, d), "N7"))
 query("a01_count_by_label", WITH + " SELECT label, count(*) AS n FROM nodes GROUP BY label")(lambda s, d: model.nodes(s, d).groupBy("label").agg(F.count("*").alias("n")))
 query("a02_top_sources", WITH + " SELECT src, count(*) AS n FROM trade GROUP BY src ORDER BY n DESC, src LIMIT 10")(lambda s, d: model.trade_edges(s, d).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10))
 query("a04_graph_stats", WITH + " SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM edges) AS types")(
     lambda s, d: model.edges(s, d).agg(F.count("*").alias("n_edges"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types")).join(model.nodes(s, d).agg(F.count("*").alias("n_nodes"))))
 query("g01_simple_graph", WITH + " SELECT least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS weight FROM edges WHERE src <> dst GROUP BY 1, 2")(lambda s, d: graph.simple_graph(model.edges(s, d)))
-_PART = ", g AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v FROM place GROUP BY 1, 2), p AS (SELECT node_id AS node, left(node_id, 1) AS c FROM nodes)"
 
 
-def _by_letter(s: SparkSession, d: str) -> DataFrame:
-    return model.nodes(s, d).select(F.col("node_id").alias("node"), F.substring("node_id", 1, 1).alias("community"))
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    return community.community_levels(graph.simple_graph(model.edges(s, d)).withColumn("weight", F.lit(1)))
 
 
-query("g04_modularity", WITH + _PART + """, e AS (SELECT a.c AS cu, b.c AS cv FROM g JOIN p a ON a.node = u JOIN p b ON b.node = v), m AS (SELECT count(*) AS m FROM e),
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    return community.top_level(_levels(s, d))
+
+
+def _centrality(s: SparkSession, d: str) -> DataFrame:
+    """Betweenness and degree inside the communities of the first level."""
+    g = graph.simple_graph(model.edges(s, d))
+    found = community.betweenness(g, _levels(s, d).where("level = 1").select("node", "community"))
+    return found.select("node", "community", F.round("betweenness", 9).alias("betweenness"), F.round("degree", 9).alias("degree"))
+
+
+query("g02_communities")(_detected)
+query("g02_levels")(lambda s, d: community.community_tree(_levels(s, d)))
+query("g03_contracted")(lambda s, d: graph.contracted(graph.simple_graph(model.edges(s, d)), _detected(s, d)))
+query("g04_modularity")(lambda s, d: graph.modularity(graph.simple_graph(model.edges(s, d)), _detected(s, d)).select(F.round("modularity", 6).alias("modularity")))
+query("a06_community_sizes")(lambda s, d: graph.community_sizes(_detected(s, d), 3))
+query("g05_betweenness")(_centrality)
+_PART = ", g AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v FROM edges GROUP BY 1, 2), p AS (SELECT node_id AS node, label AS c FROM nodes)"
+
+
+def _by_label(s: SparkSession, d: str) -> DataFrame:
+    return model.nodes(s, d).select(F.col("node_id").alias("node"), F.col("label").alias("community"))
+
+
+query("g04_label_modularity", WITH + _PART + """, e AS (SELECT a.c AS cu, b.c AS cv FROM g JOIN p a ON a.node = u JOIN p b ON b.node = v), m AS (SELECT count(*) AS m FROM e),
  dd AS (SELECT c, count(*) AS d FROM (SELECT cu AS c FROM e UNION ALL SELECT cv FROM e) GROUP BY c), l AS (SELECT cu AS c, count(*) AS l FROM e WHERE cu = cv GROUP BY cu)
  SELECT round(sum(coalesce(l, 0) / m - power(d / (2 * m), 2)), 6) AS modularity FROM dd LEFT JOIN l USING (c), m""")(
-    lambda s, d: graph.modularity(graph.simple_graph(model.place_edges(s, d)), _by_letter(s, d)).select(F.round("modularity", 6).alias("modularity")))
-query("g02_communities")(lambda s, d: graph.communities(graph.simple_graph(model.edges(s, d))))
-query("g03_contracted_all")(lambda s, d: graph.contracted(graph.simple_graph(model.edges(s, d)), QUERIES["g02_communities"](s, d)))
-query("g04_modularity_all")(lambda s, d: graph.modularity(graph.simple_graph(model.edges(s, d)), QUERIES["g02_communities"](s, d)).select(F.round("modularity", 6).alias("modularity")))
-query("a06_community_sizes_all")(lambda s, d: graph.community_sizes(QUERIES["g02_communities"](s, d), 3))
-query("g03_contracted", WITH + _PART + " SELECT least(a.c, b.c) AS u, greatest(a.c, b.c) AS v, count(*) AS weight FROM g JOIN p a ON a.node = u JOIN p b ON b.node = v WHERE a.c <> b.c GROUP BY 1, 2")(
-    lambda s, d: graph.contracted(graph.simple_graph(model.place_edges(s, d)), _by_letter(s, d)))
-query("a06_community_sizes", WITH + " SELECT left(node_id, 1) AS community, count(*) AS size FROM nodes GROUP BY 1 ORDER BY size DESC, community LIMIT 3")(lambda s, d: graph.community_sizes(_by_letter(s, d), 3))
+    lambda s, d: graph.modularity(graph.simple_graph(model.edges(s, d)), _by_label(s, d)).select(F.round("modularity", 6).alias("modularity")))
+query("g03_label_contracted", WITH + _PART + " SELECT least(a.c, b.c) AS u, greatest(a.c, b.c) AS v, count(*) AS weight FROM g JOIN p a ON a.node = u JOIN p b ON b.node = v WHERE a.c <> b.c GROUP BY 1, 2")(
+    lambda s, d: graph.contracted(graph.simple_graph(model.edges(s, d)), _by_label(s, d)))
 
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
@@ -145,8 +162,7 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 query("x11_fixed_windows", _CHUNKS + " SELECT chunk_id, document_id, chunk_index, md5(content) AS h FROM c")(lambda s, d: _chunks(s, d).select("chunk_id", "document_id", "chunk_index", F.md5(F.encode("content", "UTF-8")).alias("h")))
 query("a09_split_stats", _CHUNKS + " SELECT count(*) AS n, sum(length(content))::BIGINT AS total, round(avg(length(content)), 6) AS mean, min(length(content)) AS least, max(length(content)) AS most FROM c")(lambda s, d: text.split_stats(_chunks(s, d)))
-query("w01_chunk_context", _CHUNKS + " SELECT chunk_id, count(*) OVER w AS n_context, string_agg(substring(content, 1, 8), '|') OVER w AS context FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(lambda s, d: text.chunk_context(_chunks(s, d)).select("chunk_id", F.size("context").cast("bigint").alias("n_context"), F.array_join(F.transform("context", lambda c: F.substring(c.content, 1, 8)), "|").alias("context")))
-query("w01_chunk_context_all", _CHUNKS + " SELECT chunk_id, count(*) OVER w AS n_context, md5(string_agg(content, '|') OVER w) AS h FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(
+query("w01_chunk_context", _CHUNKS + " SELECT chunk_id, count(*) OVER w AS n_context, md5(string_agg(content, '|') OVER w) AS h FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(
     lambda s, d: text.chunk_context(_chunks(s, d)).select("chunk_id", F.size("context").cast("bigint").alias("n_context"), F.md5(F.encode(F.array_join("context.content", "|"), "UTF-8")).alias("h")))
 query("j14_reconstruct", _CHUNKS + " SELECT document_id, count(*) AS n_chunks, md5(string_agg(content, '##' ORDER BY chunk_index)) AS h FROM c GROUP BY document_id")(
     lambda s, d: text.reconstruct(_chunks(s, d), "##").select("document_id", "n_chunks", F.md5(F.encode("content", "UTF-8")).alias("h")))
@@ -157,23 +173,17 @@ for _how in text.SPLITTERS:
     query(f"x0_split_{_how}")(lambda s, d, how=_how: text.split_documents(table(s, d, "documents"), 512, how))
 query("n01_dictionary_mentions", "WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS name FROM documents) SELECT id, name, 'Word' AS type, count(*) AS n FROM w WHERE name IN ('the', 'and', 'der', 'les') GROUP BY ALL")(
     lambda s, d: text.dictionary_mentions(table(s, d, "documents"), s.createDataFrame([(w, "Word") for w in ("the", "and", "der", "les")], "name string, type string"), "doc_id", "text"))
-query("n02_abbreviations", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,5}\b'))) AS abbr FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
-    lambda s, d: text.abbreviation_mentions(table(s, d, "documents").where(r"text rlike '^[\\x00-\\x7f]*$' and octet_length(text) = length(text)"), "doc_id", "text"))
-query("n02_abbreviations_all", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,5}')))) AS abbr FROM documents) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
+query("n02_abbreviations", r"WITH a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,5}')))) AS abbr FROM documents) SELECT id, abbr, (strpos(text, abbr) - 1)::INT AS start, 0.9 AS confidence FROM a")(
     lambda s, d: text.abbreviation_mentions(table(s, d, "documents"), "doc_id", "text"))
 
 
-def _history_counts(turns: DataFrame) -> DataFrame:
-    """The counts of the SQL of w06_history, which pairs an old user turn with a kept answer too."""
-    last, order = Window.partitionBy("conv_id").orderBy(F.desc("turn")), Window.partitionBy("conv_id").orderBy("turn")
-    x = turns.withColumn("back", F.row_number().over(last)).withColumn("next_role", F.lead("role").over(order))
-    old = F.col("back") > 4
-    return x.groupBy("conv_id").agg(F.count_if(old).alias("n_old"), F.count_if(old & (F.col("role") == "user") & (F.col("next_role") == "assistant")).alias("n_pairs"), F.count_if(~old).alias("n_kept"))
-
-
-query("w06_history", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
- SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE back > 4 AND role = 'user' AND nx = 'assistant') AS n_pairs, count(*) FILTER (WHERE back <= 4) AS n_kept FROM x GROUP BY conv_id""")(lambda s, d: _history_counts(table(s, d, "conversations")))
-query("w06_history_all")(lambda s, d: text.history_summary(table(s, d, "conversations")).select("conv_id", "n_old", "n_pairs", F.size("kept").alias("n_kept"), F.md5(F.encode("summary", "UTF-8")).alias("summary"), F.md5(F.encode(F.to_json("kept"), "UTF-8")).alias("kept")))
+query("w06_history", """WITH x AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+ y AS (SELECT *, back > 5 AND coalesce(nr = 'assistant', false) AS answered, left(coalesce(text, ''), 50) AS q FROM x), z AS (SELECT *, CASE WHEN answered THEN left(coalesce(nt, ''), 50) ELSE '' END AS a FROM y)
+ SELECT conv_id, count(*) FILTER (WHERE back > 4) AS n_old, count(*) FILTER (WHERE role = 'user' AND back > 4 AND answered) AS n_pairs, (count(*) FILTER (WHERE back <= 4))::INT AS n_kept,
+ md5('[对话摘要] ' || string_agg('问: ' || q || CASE WHEN a <> '' THEN '；答: ' || a ELSE '' END, '；' ORDER BY back DESC) FILTER (WHERE role = 'user' AND back > 4 AND q <> '')) AS summary,
+ md5(string_agg(turn || ':' || coalesce(role, '') || ':' || coalesce(text, ''), chr(10) ORDER BY back DESC) FILTER (WHERE back <= 4)) AS kept FROM z GROUP BY conv_id""")(
+    lambda s, d: text.history_summary(table(s, d, "conversations")).select("conv_id", "n_old", "n_pairs", F.size("kept").alias("n_kept"), F.md5(F.encode("summary", "UTF-8")).alias("summary"),
+        F.md5(F.encode(F.array_join(F.transform("kept", lambda r: F.concat(r.turn.cast("string"), F.lit(":"), F.coalesce(r.role, F.lit("")), F.lit(":"), F.coalesce(r.text, F.lit("")))), "\n"), "UTF-8")).alias("kept")))
 query("w08_session_titles", "SELECT conv_id, left(arg_min(text, turn), 30) AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 30).alias("title"), F.count("*").alias("n")))
 query("s09_html_text")(lambda s, d: table(s, d, "pages").select("page_id", load.html_title(F.col("html")).alias("title"), load.html_text(F.col("html")).alias("content")))
 query("s10_document_id", "SELECT page_id, md5(url) AS id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.encode("url", "UTF-8")).alias("id")))
@@ -194,10 +204,6 @@ _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\
 _GRAMS = "CASE WHEN len({0}) >= {1} THEN list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')) ELSE [] END"
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item is the reference of the document with its id."""
-    return table(s, d, "documents").join(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("reference")), "doc_id").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("prediction"), "reference")
-
 
 def _all_pairs(s: SparkSession, d: str) -> DataFrame:
     """Every document, whole, with the benchmark item that its id selects by the number of items."""
@@ -214,16 +220,13 @@ def _overlap_sql(n: int) -> str:
  o{n} AS (SELECT w.id, coalesce(sum(least(a, b)), 0) AS common, coalesce(sum(a), 0) AS np, coalesce(sum(b), 0) AS nr FROM w LEFT JOIN c{n} USING (id) GROUP BY w.id)"""
 
 
-_PAIRS_SQL = f"""WITH q AS (SELECT doc_id AS id, left(d.text, 400) AS prediction, b.text AS reference FROM documents d JOIN benchmark b ON item_id = doc_id), w AS (SELECT id, {_WORDS.format("prediction")} AS p, {_WORDS.format("reference")} AS r FROM q), """
-query("e01_exact_match", _PAIRS_SQL + "z AS (SELECT 1) SELECT id, trim(prediction) = trim(reference) AS exact FROM q")(lambda s, d: quality.exact_match(_pairs(s, d)))
-query("e02_token_f1", _PAIRS_SQL + _overlap_sql(1) + " SELECT id, round(coalesce(2.0 * common / nullif(np + nr, 0), 0), 6) AS f1 FROM o1")(lambda s, d: quality.token_f1(_pairs(s, d)))
-query("e04_rouge_2", _PAIRS_SQL + _overlap_sql(2) + " SELECT id, round(coalesce(common / nullif(nr, 0), 0), 6) AS rouge FROM o2")(lambda s, d: quality.rouge_recall(_pairs(s, d), 2))
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in quality.BLANKS)
+_PAIRS_SQL = f"""WITH q AS (SELECT doc_id AS id, d.text AS prediction, b.text AS reference FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON k = doc_id % (SELECT count(*) FROM benchmark)), w AS (SELECT id, {_WORDS.format("prediction")} AS p, {_WORDS.format("reference")} AS r FROM q), """
 query("e03_bleu")(lambda s, d: quality.bleu(_all_pairs(s, d)))
 query("e05_rouge_l")(lambda s, d: quality.rouge_l(_all_pairs(s, d)))
-_ALL_PAIRS_SQL = _PAIRS_SQL.replace("left(d.text, 400)", "d.text").replace("JOIN benchmark b ON item_id = doc_id", "JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON k = doc_id % (SELECT count(*) FROM benchmark)")
-query("e01_exact_match_all", _ALL_PAIRS_SQL + "z AS (SELECT 1) SELECT id, trim(prediction) = trim(reference) AS exact FROM q")(lambda s, d: quality.exact_match(_all_pairs(s, d)))
-query("e02_token_f1_all", _ALL_PAIRS_SQL + _overlap_sql(1) + " SELECT id, round(coalesce(2.0 * common / nullif(np + nr, 0), 0), 6) AS f1 FROM o1")(lambda s, d: quality.token_f1(_all_pairs(s, d)))
-query("e04_rouge_2_all", _ALL_PAIRS_SQL + _overlap_sql(2) + " SELECT id, round(coalesce(common / nullif(nr, 0), 0), 6) AS rouge FROM o2")(lambda s, d: quality.rouge_recall(_all_pairs(s, d), 2))
+query("e01_exact_match", _PAIRS_SQL + f"z AS (SELECT {_BLANKS} AS b) SELECT id, trim(prediction, b) = trim(reference, b) AS exact FROM q, z")(lambda s, d: quality.exact_match(_all_pairs(s, d)))
+query("e02_token_f1", _PAIRS_SQL + _overlap_sql(1) + " SELECT id, CASE WHEN np + nr = 0 THEN 1.0 ELSE round(coalesce(2.0 * common / nullif(np + nr, 0), 0), 6) END AS f1 FROM o1")(lambda s, d: quality.token_f1(_all_pairs(s, d)))
+query("e04_rouge_2", _PAIRS_SQL + _overlap_sql(2) + " SELECT id, round(coalesce(common / nullif(nr, 0), 0), 6) AS rouge FROM o2")(lambda s, d: quality.rouge_recall(_all_pairs(s, d), 2))
 query("a12_grouping_sets", "SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents GROUP BY GROUPING SETS ((lang), ())")(lambda s, d: table(s, d, "documents").rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean")))
 query("a28_compare_reports", "WITH b AS (SELECT lang AS metric, count(*)::DOUBLE AS v FROM documents WHERE source < 'src3' GROUP BY 1), a AS (SELECT lang AS metric, count(*)::DOUBLE AS v FROM documents GROUP BY 1) SELECT metric, coalesce(b.v, 0) AS before, coalesce(a.v, 0) AS after, round(coalesce(a.v, 0) - coalesce(b.v, 0), 6) AS delta, coalesce(a.v, 0) > coalesce(b.v, 0) AS improved FROM b FULL JOIN a USING (metric)")(
     lambda s, d: quality.compare_reports(*(x.groupBy(F.col("lang").alias("metric")).agg(F.count("*").cast("double").alias("value")) for x in (table(s, d, "documents").where("source < 'src3'"), table(s, d, "documents")))))
@@ -234,8 +237,7 @@ query("e12_thresholds", "SELECT event_type AS metric, round(avg(value), 6) AS va
 
 query("a16_metric_summary", "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")(lambda s, d: rollup.summary(table(s, d, "events"), "event_type", "value"))
 query("a17_histogram", "WITH b AS (SELECT unnest([" + ", ".join(f"'{b}'" for b in rollup.BUCKETS) + ", 'Inf']) AS le) SELECT event_type, le, count(*) FILTER (WHERE value IS NOT NULL AND (le = 'Inf' OR value <= try_cast(le AS DOUBLE))) AS n FROM events, b GROUP BY 1, 2")(lambda s, d: rollup.histogram(table(s, d, "events"), "event_type", "value"))
-query("s22_prometheus", "SELECT event_type || '_bucket{le=\"5\"} ' || count(*) FILTER (WHERE value <= 5) AS line FROM events GROUP BY event_type")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value").where("le = '5'")))
-query("s22_prometheus_all", f"WITH x AS ({ORACLES['a17_histogram']}) SELECT event_type || '_bucket{{le=\"' || le || '\"}} ' || n AS line FROM x")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value")))
+query("s22_prometheus", f"WITH x AS ({ORACLES['a17_histogram']}) SELECT event_type || '_bucket{{le=\"' || le || '\"}} ' || n AS line FROM x")(lambda s, d: rollup.prometheus(rollup.histogram(table(s, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value")))
 query("a14_p95", "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value AS quantile FROM x WHERE k = least(floor(n * 0.95), n - 1) + 1")(lambda s, d: rollup.indexed_quantile(table(s, d, "events"), "event_type", "value", 0.95))
 _ERR = "SELECT left(md5(event_type || ':' || (user_id % 50)), 16) AS fingerprint, count(*) AS n, floor(epoch(min(ts)))::BIGINT AS first_seen, floor(epoch(max(ts)))::BIGINT AS last_seen FROM events WHERE event_type = 'error' GROUP BY 1"
 query("a19_error_rollup", _ERR)(lambda s, d: rollup.error_rollup(table(s, d, "events").where("event_type = 'error'").select(F.col("event_type").alias("type"), (F.col("user_id") % 50).cast("string").alias("message"), "ts", F.col("props").alias("stack"))).select("fingerprint", "n", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen")))
@@ -270,10 +272,10 @@ def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 query("m01_upsert_documents", "SELECT doc_id AS id, CASE WHEN lang IN ('en', 'fr') THEN source ELSE lang END AS content, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS created_at, CASE WHEN lang IN ('en', 'fr') THEN 2 ELSE 1 END AS updated_at FROM documents")(lambda s, d: merge.upsert_documents(*_halves(s, d)))
-query("m09_detach_delete", WITH + " SELECT edge_id, src, dst, type FROM place WHERE src NOT LIKE 'N1%' AND dst NOT LIKE 'N1%'")(
-    lambda s, d: merge.detach_delete(model.nodes(s, d), model.place_edges(s, d), model.nodes(s, d).where("node_id like 'N1%'").select("node_id"))[1].select("edge_id", "src", "dst", "type"))
-query("m03_upsert_relations", WITH + " SELECT DISTINCT src, dst, type FROM place UNION SELECT src, dst, 'NEW' FROM place WHERE type = 'IN_REGION'")(
-    lambda s, d: merge.upsert_relations(model.place_edges(s, d), model.place_edges(s, d).where("type = 'IN_REGION'").select("src", "dst", F.lit("NEW").alias("type")).unionByName(s.createDataFrame([("N1", "nowhere", "NEW")], "src string, dst string, type string")), model.nodes(s, d)))
+query("m09_detach_delete", WITH + " SELECT edge_id, src, dst, type FROM edges WHERE src NOT LIKE 'N1%' AND dst NOT LIKE 'N1%'")(
+    lambda s, d: merge.detach_delete(model.nodes(s, d), model.edges(s, d), model.nodes(s, d).where("node_id like 'N1%'").select("node_id"))[1].select("edge_id", "src", "dst", "type"))
+query("m03_upsert_relations", WITH + " SELECT DISTINCT src, dst, type FROM edges UNION SELECT src, dst, 'NEW' FROM edges WHERE type = 'IN_REGION'")(
+    lambda s, d: merge.upsert_relations(model.edges(s, d), model.edges(s, d).where("type = 'IN_REGION'").select("src", "dst", F.lit("NEW").alias("type")).unionByName(s.createDataFrame([("N1", "nowhere", "NEW")], "src string, dst string, type string")), model.nodes(s, d)))
 query("m06_replace_documents", _CHUNKS + " SELECT chunk_id, CASE WHEN lang = 'de' THEN 'new' ELSE 'old' END AS state FROM c JOIN documents ON doc_id = document_id WHERE lang <> 'de' OR chunk_index = 0")(
     lambda s, d: merge.replace_documents(_chunks(s, d).select("chunk_id", "document_id", F.lit("old").alias("state")), text.fixed_windows(table(s, d, "documents").where("lang = 'de'")).where("chunk_index = 0").select("chunk_id", "document_id", F.lit("new").alias("state"))).select("chunk_id", "state"))
 query("j26_new_documents", "WITH k AS (SELECT * FROM documents WHERE lang = 'en'), x AS (SELECT *, sha256(text) AS h FROM documents WHERE lang <> 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM k)) SELECT min(doc_id) AS id FROM x GROUP BY h")(

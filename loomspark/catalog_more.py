@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.catalog import _CHUNKS, _COS, _DEG, _chunks, _vector, query
+from loomspark.catalog import _BLANKS, _CHUNKS, _COS, _DEG, _chunks, _vector, query
 from loomspark.operators import graph, knowledge, merge, quality, report, retrieval, text
 from loomspark.plans import model
 from loomspark.plans.model import WITH
@@ -115,7 +115,7 @@ query("j17_branches", WITH + ", x AS (SELECT src AS node_id, type || '_out' AS b
     .groupBy("node_id", "label").agg(*[F.coalesce(F.max(F.when(F.col("branch") == f"{t}_{w}", F.col("n"))), F.lit(0)).cast("bigint").alias(f"n_{t.lower()}_{w}") for t, w in _BRANCHES]))
 query("j18_typed_collects", WITH + " SELECT src AS node_id, type, count(DISTINCT dst) AS n, array_to_string(list_sort(list_distinct(list(dst)))[1:5], ',') AS targets FROM edges GROUP BY ALL")(
     lambda s, d: model.edges(s, d).select("src", "type", "dst").distinct().withColumn("k", F.row_number().over(Window.partitionBy("src", "type").orderBy("dst"))).groupBy(F.col("src").alias("node_id"), "type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("dst")))), ",").alias("targets")))
-query("j21_optional_relations", WITH + " SELECT node_id, label, type, dst FROM nodes LEFT JOIN place ON src = node_id")(lambda s, d: model.nodes(s, d).join(model.place_edges(s, d).select(F.col("src").alias("node_id"), "type", "dst"), "node_id", "left").select("node_id", "label", "type", "dst"))
+query("j21_optional_relations", WITH + " SELECT node_id, label, type, dst FROM nodes LEFT JOIN edges ON src = node_id")(lambda s, d: model.nodes(s, d).join(model.edges(s, d).select(F.col("src").alias("node_id"), "type", "dst"), "node_id", "left").select("node_id", "label", "type", "dst"))
 query("j10_inner_page", WITH + _DEG + ", page AS (SELECT * FROM deg ORDER BY degree DESC, node_id LIMIT 400) SELECT edge_id, src, dst, type FROM edges WHERE src IN (SELECT node_id FROM page) AND dst IN (SELECT node_id FROM page)")(
     lambda s, d: graph.top_page(model.nodes(s, d), model.edges(s, d), 400)[1].select("edge_id", "src", "dst", "type"))
 query("a05_schema", WITH + " SELECT label AS kind, count(*) AS n, array_to_string(list_sort(list_distinct(list(name)))[1:3], ',') AS samples FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*), NULL FROM edges GROUP BY 1")(
@@ -153,28 +153,28 @@ query("g08_global_summary", WITH + _SUMMED + " SELECT string_agg(summary, chr(10
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
 
-_DOC_CHUNKS = f"{_CHUNKS}, v AS (SELECT c.chunk_id, c.document_id, c.content, e.embedding, lang FROM c JOIN embeddings e ON vec_id = document_id JOIN documents ON doc_id = document_id WHERE chunk_index = 0)"
-_HITS = f"{_DOC_CHUNKS}, h AS (SELECT e.chunk_id, e.document_id, round({_COS}, 6) AS similarity FROM v e, embeddings q WHERE q.vec_id = 2 AND lang = 'en' ORDER BY 3 DESC, 1 LIMIT 10)"
+_DOC_CHUNKS = f"{_CHUNKS}, v AS (SELECT c.chunk_id, c.document_id, c.content, e.embedding, lang FROM c JOIN embeddings e ON vec_id = document_id JOIN documents ON doc_id = document_id)"
+_HITS = f"{_DOC_CHUNKS}, h AS (SELECT e.chunk_id, e.document_id, round({_COS}, 6) AS similarity FROM v e, embeddings q WHERE q.vec_id = 2 ORDER BY 3 DESC, 1 LIMIT 10)"
 
 
 def _chunk_vectors(s: SparkSession, d: str) -> DataFrame:
-    """First chunks with the vector of their document's number."""
-    first = _chunks(s, d).where("chunk_index = 0")
+    """Every chunk with the vector of its document's number."""
+    first = _chunks(s, d)
     meta = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "lang")
     return first.join(table(s, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id").join(meta, "document_id")
 
 
 def _chunk_hits(s: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_topk(_chunk_vectors(s, d).where("lang = 'en'"), _vector(s, d, 2), id_col="chunk_id")
+    hits = retrieval.vector_topk(_chunk_vectors(s, d), _vector(s, d, 2), id_col="chunk_id")
     return hits.withColumn("document_id", F.substring_index("chunk_id", "_", 1).cast("bigint"))
 
 
 query("v01_chunk_search", f"{_HITS} SELECT * FROM h")(lambda s, d: _chunk_hits(s, d).select("chunk_id", "document_id", "similarity"))
-_GRAPH_HITS = "g AS (SELECT m.chunk_id, max(length(name) / 20.0) AS entity_score FROM m WHERE document_id < 60 GROUP BY 1)"
+_GRAPH_HITS = "g AS (SELECT m.chunk_id, max(length(name) / 20.0) AS entity_score FROM m GROUP BY 1)"
 
 
 def _graph_hits(s: SparkSession, d: str) -> DataFrame:
-    return _mentions(s, d).where("document_id < 60").groupBy("chunk_id").agg(F.max(F.length("name") / 20).alias("entity_score"))
+    return _mentions(s, d).groupBy("chunk_id").agg(F.max(F.length("name") / 20).alias("entity_score"))
 
 
 query("v08_hybrid_search", _HITS.replace(", v AS", ", " + _MENTIONS[len(_CHUNKS) + 2:] + ", v AS", 1) + f""", {_GRAPH_HITS}, x AS (SELECT chunk_id, coalesce(similarity / (SELECT max(similarity) FROM h), 0.0) AS vector_score, coalesce(entity_score, 0.0)::DOUBLE AS graph_score FROM h FULL JOIN g USING (chunk_id))
@@ -182,7 +182,7 @@ query("v08_hybrid_search", _HITS.replace(", v AS", ", " + _MENTIONS[len(_CHUNKS)
 query("v07_entity_merge", _HITS.replace(", v AS", f", {_DICT_SQL}, v AS", 1) + """, x AS (SELECT chunk_id AS id, 'vector' AS origin, round(similarity / (SELECT max(similarity) FROM h) * 0.5, 6) AS combined FROM h UNION ALL SELECT name, 'graph', round(length(name) / 20.0 * 0.5, 6) FROM dict)
  SELECT * FROM x ORDER BY combined DESC, id LIMIT 20""")(
     lambda s, d: retrieval.entity_merge(_chunk_hits(s, d), _dictionary(s, d).select("name", (F.length("name") / 20).alias("score")), 0.5, 20))
-query("v24_late_chunks", f"{_DOC_CHUNKS.replace(' WHERE chunk_index = 0', '')}, r AS (SELECT c.chunk_id, (sum(length(c.content)) OVER w - length(c.content)) / sum(length(c.content)) OVER (PARTITION BY c.document_id) AS a, sum(length(c.content)) OVER w / sum(length(c.content)) OVER (PARTITION BY c.document_id) AS b FROM c WINDOW w AS (PARTITION BY c.document_id ORDER BY c.chunk_index)), z AS (SELECT chunk_id, floor(64 * round(a, 6))::INT AS lo, floor(64 * round(b, 6))::INT AS hi, embedding FROM v JOIN r USING (chunk_id)) SELECT chunk_id, lo, hi, round(CASE WHEN hi > lo THEN list_avg(embedding[lo + 1:hi]::DOUBLE[]) ELSE list_avg(embedding::DOUBLE[]) END, 5) AS pooled FROM z")(
+query("v24_late_chunks", f"{_DOC_CHUNKS}, r AS (SELECT c.chunk_id, (sum(length(c.content)) OVER w - length(c.content)) / sum(length(c.content)) OVER (PARTITION BY c.document_id) AS a, sum(length(c.content)) OVER w / sum(length(c.content)) OVER (PARTITION BY c.document_id) AS b FROM c WINDOW w AS (PARTITION BY c.document_id ORDER BY c.chunk_index)), z AS (SELECT chunk_id, floor(64 * round(a, 6))::INT AS lo, floor(64 * round(b, 6))::INT AS hi, embedding FROM v JOIN r USING (chunk_id)) SELECT chunk_id, lo, hi, round(CASE WHEN hi > lo THEN list_avg(embedding[lo + 1:hi]::DOUBLE[]) ELSE list_avg(embedding::DOUBLE[]) END, 5) AS pooled FROM z")(
     lambda s, d: retrieval.late_chunks(report.start_ratios(_chunks(s, d)).join(_chunks(s, d).select("chunk_id", "document_id"), "chunk_id").join(table(s, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id")).select("chunk_id", "lo", "hi", F.round("pooled", 5).alias("pooled")))
 query("w05_start_ratios", f"{_CHUNKS} SELECT chunk_id, round((sum(length(content)) OVER w - length(content)) / sum(length(content)) OVER (PARTITION BY document_id), 6) AS start, round(sum(length(content)) OVER w / sum(length(content)) OVER (PARTITION BY document_id), 6) AS \"end\" FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)")(lambda s, d: report.start_ratios(_chunks(s, d)))
 _NEXT = f"n AS (SELECT e.label, e.vec_id, round({_COS.replace('q.embedding', 'e.after')}, 6) AS similarity FROM (SELECT *, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS after FROM embeddings) e WHERE after IS NOT NULL)"
@@ -271,12 +271,12 @@ _QUALITY = f"""{_CHUNKS}, n AS (SELECT *, lead(content) OVER (PARTITION BY docum
 query("x18_chunk_quality", f"{_QUALITY} SELECT * FROM z")(lambda s, d: report.chunk_quality(_chunks(s, d)))
 query("a29_strategy_ranking", f"{_QUALITY} SELECT lang, round(avg(clean_ends), 5) AS score, count(*) FILTER (WHERE stability < 0.5) AS passed, count(*) AS total FROM z JOIN documents ON doc_id = document_id GROUP BY 1")(
     lambda s, d: report.chunk_quality(_chunks(s, d)).join(table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "lang"), "document_id").groupBy("lang").agg(F.round(F.avg("clean_ends"), 5).alias("score"), F.count_if(F.col("stability") < 0.5).alias("passed"), F.count("*").alias("total")))
-query("a10_macro_average", f"WITH {_PAIR}, x AS (SELECT round({_KW}, 6) AS kw, (trim(prediction) = trim(reference))::INT AS exact FROM q) SELECT round(avg(kw), 5) AS keyword_matching, round(avg(exact), 5) AS exact_match FROM x")(
-    lambda s, d: _answers(s, d).agg(F.round(F.avg(F.round(report.share_found(F.col("prediction"), F.col("keywords")), 6)), 5).alias("keyword_matching"), F.round(F.avg((F.trim("prediction") == F.trim("reference")).cast("int")), 5).alias("exact_match")))
+query("a10_macro_average", f"WITH {_PAIR}, x AS (SELECT round({_KW}, 6) AS kw, (trim(prediction, {_BLANKS}) = trim(reference, {_BLANKS}))::INT AS exact FROM q) SELECT round(avg(kw), 5) AS keyword_matching, round(avg(exact), 5) AS exact_match FROM x")(
+    lambda s, d: _answers(s, d).agg(F.round(F.avg(F.round(report.share_found(F.col("prediction"), F.col("keywords")), 6)), 5).alias("keyword_matching"), F.round(F.avg((F.trim(F.col("prediction"), F.lit(quality.BLANKS)) == F.trim(F.col("reference"), F.lit(quality.BLANKS))).cast("int")), 5).alias("exact_match")))
 
 # --- sets, lists and splits -------------------------------------------------------------------------------------------
 
-query("u07_first_question", "SELECT text, min(doc_id) AS doc_id FROM (SELECT lower(trim(left(text, 20))) AS text, doc_id FROM documents) GROUP BY 1")(lambda s, d: table(s, d, "documents").groupBy(F.lower(F.trim(F.substring("text", 1, 20))).alias("text")).agg(F.min("doc_id").alias("doc_id")))
+query("u07_first_question", "SELECT md5(text) AS text, min(doc_id) AS doc_id FROM (SELECT lower(trim(text)) AS text, doc_id FROM documents) GROUP BY 1")(lambda s, d: table(s, d, "documents").groupBy(F.md5(F.encode(F.lower(F.trim("text")), "UTF-8")).alias("text")).agg(F.min("doc_id").alias("doc_id")))
 query("u10_split", "SELECT count(*) AS n FROM documents")(lambda s, d: _split_sizes(s, d))
 query("w08_sessions", "SELECT conv_id, left(arg_min(text, turn) FILTER (WHERE role = 'user'), 30) AS title, max(turn) AS last_turn, row_number() OVER (ORDER BY max(turn) DESC, conv_id) AS place FROM conversations GROUP BY conv_id ORDER BY place LIMIT 50")(
     lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.substring(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))), 1, 30).alias("title"), F.max("turn").alias("last_turn")).orderBy(F.desc("last_turn"), "conv_id").limit(50).withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_turn"), "conv_id"))))
@@ -331,5 +331,5 @@ query("m10_version_records", "SELECT doc_id AS document_id, CASE WHEN lang = 'fr
 query("r09_feedback_ring", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")(lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id"))
 query("n21_context_lines", "SELECT item_id, '  ' || row_number() OVER (ORDER BY item_id) || '. id: ' || item_id || ', text: ' || text AS line FROM benchmark ORDER BY item_id LIMIT 10")(
     lambda s, d: table(s, d, "benchmark").orderBy("item_id").limit(10).withColumn("k", F.row_number().over(Window.orderBy("item_id"))).select("item_id", F.concat(F.lit("  "), F.col("k").cast("string"), F.lit(". id: "), F.col("item_id").cast("string"), F.lit(", text: "), "text").alias("line")))
-query("t06_list_caps", WITH + " SELECT dst AS node_id, array_to_string(list_sort(list(src))[1:5], ',') AS shown, count(*) AS n FROM place GROUP BY dst")(
-    lambda s, d: retrieval.first_per(model.place_edges(s, d), ["dst"], ["src"], 5).groupBy(F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("shown")).join(model.place_edges(s, d).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n")), "node_id"))
+query("t06_list_caps", WITH + " SELECT dst AS node_id, array_to_string(list_sort(list(src))[1:5], ',') AS shown, count(*) AS n FROM edges GROUP BY dst")(
+    lambda s, d: retrieval.first_per(model.edges(s, d), ["dst"], ["src"], 5).groupBy(F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("shown")).join(model.edges(s, d).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n")), "node_id"))

@@ -143,7 +143,19 @@ def _cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
     path = f"{sc.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomspark_path = path
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Deletes tables of _cut() that nothing later reads."""
+    for df in tables:
+        path = getattr(df, "_loomspark_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def community_sizes(partition: DataFrame, limit: int | None = None) -> DataFrame:

@@ -57,9 +57,10 @@ def overlap(pairs: DataFrame, n: int, id_col: str = "id") -> DataFrame:
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:
+    """F1 of the multisets of words; 1 if neither text has any, 0 if one of them has none."""
     x = overlap(pairs, 1)
     p, r = F.col("common") / F.nullif(F.col("n_prediction"), F.lit(0)), F.col("common") / F.nullif(F.col("n_reference"), F.lit(0))
-    return x.select("id", F.round(F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)), 6).alias("f1"))
+    return x.select("id", F.when((F.col("n_prediction") == 0) & (F.col("n_reference") == 0), 1.0).otherwise(F.round(F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)), 6)).alias("f1"))
 
 
 def rouge_recall(pairs: DataFrame, n: int) -> DataFrame:
@@ -99,8 +100,14 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     return x.select("id", F.round(F.coalesce(2 * a * b / F.nullif(a + b, F.lit(0.0)), F.lit(0.0)), 6).alias("rouge_l"))
 
 
+#: All characters that count as white space at the ends of a text.
+BLANKS = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
+
+
 def exact_match(pairs: DataFrame) -> DataFrame:
-    return pairs.select("id", (F.trim("prediction") == F.trim("reference")).alias("exact"))
+    """Whether both texts are equal without white space of any kind at their ends."""
+    bare = lambda c: F.trim(F.col(c), F.lit(BLANKS))
+    return pairs.select("id", (bare("prediction") == bare("reference")).alias("exact"))
 
 
 def keyword_share(text: Column, keywords: Column) -> Column:
