@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.catalog import _BLANKS, _CHUNKS, _COS, _DEG, _chunks, _vector, query
-from loomspark.operators import graph, knowledge, merge, quality, report, retrieval, text
+from loomspark.operators import graph, knowledge, merge, phrases, quality, report, retrieval, text
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
@@ -309,7 +309,39 @@ query("n04_pattern_entities", "SELECT id, name, type, strpos(text, name) - 1 AS
     lambda s, d: text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text").select("id", "name", "type", "start"))
 for _how in text.REPEATING:
     query(f"x0_split_{_how}")(lambda s, d, how=_how: text.split_documents(table(s, d, "documents"), 512, how))
-query("n07_extract")(lambda s, d: text.extracted(text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text")))
+# phrases: pairs of neighbouring words of the benchmark's texts, of four letters or more, and single ones of eight
+_PHRASES_SQL = """w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), p AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+ dict AS (SELECT DISTINCT name, 'T' || length(name) % 3 AS type FROM (SELECT a || ' ' || b AS name FROM p WHERE length(a) > 3 AND length(b) > 3 UNION ALL SELECT a FROM p WHERE length(a) > 7)),
+ c AS (SELECT doc_id, piece, k, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS x FROM documents))),
+ t AS (SELECT doc_id, piece AS a, (upto - length(piece))::INT AS start, upto::INT AS "end", lead(piece) OVER v AS b, (lead(upto) OVER v)::INT AS end2 FROM c WHERE regexp_matches(piece, '^[\\p{L}\\p{N}]') WINDOW v AS (PARTITION BY doc_id ORDER BY k)),
+ m AS (SELECT doc_id AS id, a AS name, start, "end" FROM t UNION ALL SELECT doc_id, a || ' ' || b, start, end2 FROM t WHERE b IS NOT NULL)"""
+
+
+def _phrases(s: SparkSession, d: str) -> DataFrame:
+    w = table(s, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    p = w.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"))).alias("p")).select("p.a", "p.b")
+    names = p.where("length(a) > 3 and length(b) > 3").select(F.concat_ws(" ", "a", "b").alias("name")).unionByName(p.where("length(a) > 7").select(F.col("a").alias("name"))).distinct()
+    return names.select("name", F.concat(F.lit("T"), (F.length("name") % 3).cast("string")).alias("type"))
+
+
+def _phrase_mentions(s: SparkSession, d: str) -> DataFrame:
+    return phrases.phrase_mentions(table(s, d, "documents"), _phrases(s, d), "doc_id", "text")
+
+
+query("n01_phrases", f"WITH {_PHRASES_SQL} SELECT id, name, type, start, \"end\", 0.95 AS confidence FROM m JOIN dict USING (name)")(lambda s, d: _phrase_mentions(s, d).drop("strategy"))
+query("n05_cross_validated", f"WITH {_PHRASES_SQL}, f AS (SELECT id, name, type, start, \"end\" FROM m JOIN dict USING (name)) SELECT id, name, type, min(start) AS start, arg_min(\"end\", start) AS \"end\", CASE WHEN count(*) > 1 THEN 1.0 ELSE 0.95 END AS confidence FROM f GROUP BY id, name, type")(
+    lambda s, d: phrases.cross_validated(_phrase_mentions(s, d)).drop("strategy"))
+_SHORT = ["AND", "THE", "MIT", "GNU", "CC", "NC"]
+
+
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    """All strategies over all documents: phrases, abbreviations, and the patterns of _PATTERNS."""
+    docs = table(s, d, "documents")
+    short = s.createDataFrame([(a, a.lower(), "Short") for a in _SHORT], "abbr string, name string, type string")
+    return phrases.entities(_phrase_mentions(s, d), phrases.abbreviations(docs, short, "doc_id", "text"), text.pattern_mentions(docs, _PATTERNS, "doc_id", "text"))
+
+
+query("n07_extract")(_extracted)
 
 
 def _entities(s: SparkSession, d: str, where: str, kind: str, confidence: float) -> DataFrame:
