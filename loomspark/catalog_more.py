@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.catalog import _BLANKS, _CHUNKS, _COS, _DEG, _chunks, _vector, query
-from loomspark.operators import graph, knowledge, merge, phrases, quality, report, retrieval, text
+from loomspark.operators import fulltext, graph, knowledge, merge, phrases, quality, report, retrieval, text
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
@@ -96,7 +96,15 @@ query("p06_chunk_filter", f"{_CHUNKS} SELECT chunk_id FROM c JOIN documents ON d
 query("p07_text_contains", f"{_CHUNKS} SELECT chunk_id, 1.0 AS similarity FROM c WHERE contains(lower(content), 'and the') ORDER BY chunk_id LIMIT 10")(
     lambda s, d: _chunks(s, d).where(F.contains(F.lower("content"), F.lit("and the"))).select("chunk_id", F.lit(1.0).alias("similarity")).orderBy("chunk_id").limit(10))
 query("p08_keywords", "WITH k AS (SELECT DISTINCT unnest(list_filter(string_split(p_name, ' '), lambda w: length(w) > 3)) AS keyword FROM part) SELECT keyword, count(*) AS n FROM k JOIN part ON contains(p_name, keyword) GROUP BY 1")(
-    lambda s, d: table(s, d, "part").join(F.broadcast(table(s, d, "part").select(F.explode(F.filter(F.split("p_name", " "), lambda w: F.length(w) > 3)).alias("keyword")).distinct()), F.contains("p_name", F.col("keyword"))).groupBy("keyword").agg(F.count("*").alias("n")))
+    lambda s, d: fulltext.containing(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), table(s, d, "part").select(F.explode(F.filter(F.split("p_name", " "), lambda w: F.length(w) > 3)).alias("keyword"))).groupBy("keyword").agg(F.count("*").alias("n")))
+# every item is a query for its words of six letters or more; every document is indexed
+_QUERY_WORDS = "[a-z]{6,}"
+query("p05_ranked", f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), n AS (SELECT count(*) AS total, avg(len(w)) AS mean FROM d),
+ p AS (SELECT id, any_value(size) AS size, term, count(*) AS tf FROM (SELECT id, len(w) AS size, unnest(w) AS term FROM d) GROUP BY id, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_QUERY_WORDS}')) AS term FROM benchmark),
+ s AS (SELECT query_id, id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY 1, 2),
+ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""")(
+    lambda s, d: fulltext.search(fulltext.build_index(table(s, d, "documents"), "doc_id", "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(_QUERY_WORDS), F.lit(0)), " ").alias("text"))).withColumn("score", F.round("score", 6)))
 query("p11_error_page", "SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 7 = 3 AND value > 1 ORDER BY ts DESC, event_id LIMIT 20 OFFSET 5")(lambda s, d: table(s, d, "events").where("event_type = 'error' and user_id % 7 = 3 and value > 1").orderBy(F.desc("ts"), "event_id").offset(5).limit(20).select("event_id"))
 query("p12_items", "SELECT item_id, CASE WHEN length(text) < 150 THEN 'easy' ELSE 'hard' END AS difficulty FROM benchmark WHERE item_id % 3 = 1")(lambda s, d: table(s, d, "benchmark").where("item_id % 3 = 1").select("item_id", F.when(F.length("text") < 150, "easy").otherwise("hard").alias("difficulty")))
 query("p16_range", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")(lambda s, d: table(s, d, "orders").where("o_orderdate >= timestamp'1997-01-01'").select("o_orderkey"))
