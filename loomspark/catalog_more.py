@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.catalog import _BLANKS, _CHUNKS, _COS, _DEG, _chunks, _vector, query
-from loomspark.operators import fulltext, graph, knowledge, merge, phrases, quality, report, retrieval, text, vector_index
+from loomspark.operators import fulltext, graph, knowledge, merge, phrases, quality, relations, report, retrieval, text, vector_index
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
@@ -385,3 +385,29 @@ query("n21_context_lines", "SELECT item_id, '  ' || row_number() OVER (ORDER BY
     lambda s, d: table(s, d, "benchmark").orderBy("item_id").limit(10).withColumn("k", F.row_number().over(Window.orderBy("item_id"))).select("item_id", F.concat(F.lit("  "), F.col("k").cast("string"), F.lit(". id: "), F.col("item_id").cast("string"), F.lit(", text: "), "text").alias("line")))
 query("t06_list_caps", WITH + " SELECT dst AS node_id, array_to_string(list_sort(list(src))[1:5], ',') AS shown, count(*) AS n FROM edges GROUP BY dst")(
     lambda s, d: retrieval.first_per(model.edges(s, d), ["dst"], ["src"], 5).groupBy(F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("shown")).join(model.edges(s, d).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n")), "node_id"))
+
+# --- fusion whole: nodes are entities, edges relations whose types are texts to align -----------------------------------
+
+_ALIGN = [("nation", "LOCATED_IN", 0), ("in region of", "PART_OF", 1), ("supplies parts", "SUPPLIES", 2), ("order", "ORDERS", 3), ("in", "IN", 4), ("ordered", "HAS_ORDERED", 5)]
+_ALLOWED = [("Customer", "LOCATED_IN", "Nation"), ("Supplier", "LOCATED_IN", "Nation"), ("Nation", "PART_OF", "Region"), ("Supplier", "SUPPLIES", None), ("Nation", "ORDERS", "Part")]
+_CANONICAL = [("FRANCE", "Nation", "Frankreich"), ("ASIA", "Symptom", "Asien")]
+_rows = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+_FUSE_SQL = f"""ph(phrase, relation, ord) AS (VALUES {_rows(_ALIGN)}), onto(s, r, t) AS (VALUES {_rows(_ALLOWED)}), syn(name, type, canonical) AS (VALUES {_rows(_CANONICAL)}),
+ rel AS (SELECT a.name AS source, a.label AS st, b.name AS target, CASE WHEN b.label = 'Region' THEN NULL ELSE b.label END AS tt, lower(replace(type, '_', ' ')) AS text FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst),
+ al AS (SELECT DISTINCT text, coalesce((SELECT relation FROM ph WHERE contains(text, phrase) OR contains(phrase, text) ORDER BY length(phrase) DESC, ord, relation LIMIT 1), text) AS relation FROM rel)"""
+
+
+def _graph_relations(s: SparkSession, d: str) -> DataFrame:
+    """Relations with no type for regions, which so count as the default type."""
+    of = lambda key, name, kind: model.nodes(s, d).select(F.col("node_id").alias(key), F.col("name").alias(name), F.col("label").alias(kind))
+    x = model.edges(s, d).join(of("src", "source", "source_type"), "src").join(of("dst", "target", "target_type"), "dst")
+    return x.select("source", "source_type", "target", F.when(F.col("target_type") != "Region", F.col("target_type")).alias("target_type"), F.lower(F.replace("type", F.lit("_"), F.lit(" "))).alias("type"))
+
+
+query("k04_align", WITH + f", {_FUSE_SQL} SELECT * FROM al")(lambda s, d: relations.align(_graph_relations(s, d).select(F.col("type").alias("text")), s.createDataFrame(_ALIGN, "phrase string, relation string, ord int")))
+query("k05_fuse_whole", WITH + f""", {_FUSE_SQL},
+ ent AS (SELECT DISTINCT coalesce(canonical, n.name) AS c, label AS type FROM nodes n LEFT JOIN syn ON lower(syn.name) = lower(n.name) AND syn.type = n.label),
+ x AS (SELECT DISTINCT coalesce(a.canonical, rel.source) AS source, coalesce(b.canonical, rel.target) AS target, relation FROM rel JOIN al USING (text) LEFT JOIN syn a ON lower(a.name) = lower(rel.source) AND a.type = st LEFT JOIN syn b ON lower(b.name) = lower(rel.target) AND b.type = coalesce(tt, 'Symptom'))
+ SELECT DISTINCT source, target, relation FROM x JOIN ent e ON e.c = source JOIN ent f ON f.c = target JOIN onto ON s = e.type AND r = relation AND (t IS NULL OR t = f.type)""")(
+    lambda s, d: relations.fuse(model.nodes(s, d).select("name", F.col("label").alias("type")), _graph_relations(s, d), s.createDataFrame([], "abbr string, canonical string"), s.createDataFrame(_CANONICAL, "synonym string, entity_type string, canonical string"),
+        s.createDataFrame(_ALIGN, "phrase string, relation string, ord int"), s.createDataFrame(_ALLOWED, "src_type string, relation string, dst_type string")))
