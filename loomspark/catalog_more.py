@@ -193,14 +193,14 @@ query("v07_entity_merge", _HITS.replace(", v AS", f", {_DICT_SQL}, v AS", 1) + "
 _NEAR = f"""SELECT query_id, id, similarity, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id))::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"""
 
 
-def _near(s: SparkSession, d: str, probes: int | None = None) -> DataFrame:
+def _near(s: SparkSession, d: str, share: float | None = None) -> DataFrame:
     """The ten nearest vectors of all those whose id is divisible by 20, among all."""
     vectors = table(s, d, "embeddings")
-    return vector_index.search_vectors(vector_index.build_vector_index(vectors), vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, probes)
+    return vector_index.search_vectors(vector_index.build_vector_index(vectors), vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, share)
 
 
 query("v03_index_exact", f"SELECT * FROM ({_NEAR}) WHERE rank <= 10")(_near)
-query("v03_index_probes")(lambda s, d: _near(s, d, 16))
+query("v03_index_probes")(lambda s, d: _near(s, d, 0.7))
 query("v04_vector_cells")(lambda s, d: vector_index.build_vector_index(table(s, d, "embeddings")).cells.select("cell", "n", F.round("radius", 6).alias("radius")))
 query("v24_late_chunks", f"{_DOC_CHUNKS}, r AS (SELECT c.chunk_id, (sum(length(c.content)) OVER w - length(c.content)) / sum(length(c.content)) OVER (PARTITION BY c.document_id) AS a, sum(length(c.content)) OVER w / sum(length(c.content)) OVER (PARTITION BY c.document_id) AS b FROM c WINDOW w AS (PARTITION BY c.document_id ORDER BY c.chunk_index)), z AS (SELECT chunk_id, floor(64 * round(a, 6))::INT AS lo, floor(64 * round(b, 6))::INT AS hi, embedding FROM v JOIN r USING (chunk_id)) SELECT chunk_id, lo, hi, round(CASE WHEN hi > lo THEN list_avg(embedding[lo + 1:hi]::DOUBLE[]) ELSE list_avg(embedding::DOUBLE[]) END, 5) AS pooled FROM z")(
     lambda s, d: retrieval.late_chunks(report.start_ratios(_chunks(s, d)).join(_chunks(s, d).select("chunk_id", "document_id"), "chunk_id").join(table(s, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id")).select("chunk_id", "lo", "hi", F.round("pooled", 5).alias("pooled")))

@@ -92,10 +92,11 @@ def build_vector_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     return VectorIndex(members, _cut(sizes.join(F.broadcast(titles), "cell").select("cell", "centre", "radius", "n")))
 
 
-def search_vectors(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+def search_vectors(index: VectorIndex, queries: DataFrame, k: int = 10, share: float | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` nearest to each of ``queries(query_id, vector)`` by cosine, rounded to six decimals, ties by id.
 
-    With ``probes`` the cells of that many nearest centres are read. Without, the result is exact: the nearest cells that hold
+    With ``share`` the cells of that share of the centres are read, the nearest ones, rounded up; what recall it gives depends on
+    the vectors. Without, the result is exact: the nearest cells that hold
     ``k`` vectors tell a similarity that the answer reaches, and then every cell is read that, by the angle to its centre and its radius,
     could hold one as near. Queries without a direction have no rows.
     """
@@ -110,8 +111,8 @@ def search_vectors(index: VectorIndex, queries: DataFrame, k: int = 10, probes:
         top = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
         return hits.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
-    if probes:
-        return nearest(seen.where(F.col("place") <= probes))
+    if share:
+        return nearest(seen.where(F.col("place") < index.cells.count() * share + 1))
     first = nearest(seen.where(F.col("before") < k))
     sure = first.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("sure"))
     return nearest(seen.join(few(sure), "query_id", "left").where("sure is null or bound >= sure - 1e-6"))
