@@ -67,12 +67,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(SPOKEN).alias("content")) for role in ("user", "assistant")])
     extra = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), spoken.alias("messages"))
     record = lambda df: df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
-    turns = canonical_records(record(rows).unionByName(record(extra)), "record")
-    back = read_chats(format_chats(turns))
+    records = record(rows).unionByName(record(extra))
+    back = read_chats(format_chats(canonical_records(records, "record", keep_empty=True)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join("losses", "")
     return back.select(
-        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), digest(said).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), digest(loss).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars")
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), digest(said).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), digest(loss).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars")
     )
 
 

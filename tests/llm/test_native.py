@@ -100,7 +100,7 @@ def test_chat_layouts(spark):
         {"conv_id": 10, "id": "x", "source": None, "messages": [{"role": "user", "content": "m", "name": "n"}, {"role": "assistant", "content": None}]},
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r in records] + [(None,), ("no json",)], "record string")
-    got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in canonical_records(df, "record").collect()), key=lambda r: r[:2])
+    got = sorted(((int(r.conv_id), r.turn, r.role, r.text) for r in canonical_records(df, "record").collect()), key=lambda r: r[:2])
     assert {r.record for r in unmapped_records(df, "record").collect()} == {json.dumps(records[5]), None, "no json"}
     pair = lambda c, a, b: [(c, 0, "user", a), (c, 1, "assistant", b)]
     assert got == pair(1, "a", "b") + pair(2, "c", "d") + pair(3, "e", "f") + pair(4, "g\n\nh", "i") + pair(5, "j", "k") + [(8, 4, "tool", "l\n\0"), (9, 0, None, None), (10, 0, "user", "m"), (10, 1, "assistant", None)]
@@ -108,6 +108,29 @@ def test_chat_layouts(spark):
     assert sorted((r.role, r.text) for r in canonical_turns(table).collect()) == [("assistant", "r"), ("user", "q")]
 
 
+def test_chat_records_are_not_lost(spark):
+    """Ids of any kind, empty arrays, messages of differing fields, null elements, and texts that look like arrays."""
+    said = [{"role": "user", "content": "a"}]
+    records = [
+        {"conv_id": "x6", "messages": said}, {"conv_id": "x7", "messages": said}, {"conv_id": "e1", "messages": []}, {"conv_id": 2, "conversations": []},
+        {"conv_id": "f", "messages": [{"role": "system"}, None, {"name": "n", "role": "user", "content": "b"}]},
+        {"conv_id": "t", "prompt": "[]", "completion": '[{"a": 1}]'}, {"conv_id": "x6", "turn": 9, "role": "user", "text": "late"},
+        {"conv_id": None, "messages": said}, {"conv_id": "g", "messages": [{"role": "user"}]}, {"conv_id": "h", "messages": ["a"]}, {"conv_id": "i", "messages": None},
+        {"conv_id": None, "turn": 0, "role": "user", "text": "row"},
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "record string")
+    assert {r.record for r in unmapped_records(df, "record").collect()} == {json.dumps(r) for r in records[7:11]}
+    every = canonical_records(df, "record", keep_empty=True)
+    assert {r.conv_id for r in every.where("empty").collect()} == {"e1", "2"} and every.where("not empty").count() == canonical_records(df, "record").count()
+    back = read_chats(format_chats(every)).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in back} == {
+        "x6": [("user", "a"), ("user", "late")], "x7": [("user", "a")], "e1": [], "2": [], "f": [("system", ""), ("", ""), ("user", "b")],
+        "t": [("user", "[]"), ("assistant", '[{"a": 1}]')], None: [("user", "row")],
+    }
+    assert {r.conv_id: r.losses for r in back}["t"] == ['[{"a": 1}]'] and {r.formatted for r in back if r.conv_id in ("e1", "2")} == {""}
+    assert format_chats(canonical_records(df.limit(0), "record", keep_empty=True)).collect() == []
+
+
 def fill(budget, children):
     """[(weight, capacity)] -> shares, by filling round after round."""
     shares, open_ = [0.0] * len(children), {k for k, (w, c) in enumerate(children) if w > 0 and c > 0}
