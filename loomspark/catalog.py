@@ -168,7 +168,6 @@ query("j14_reconstruct", _CHUNKS + " SELECT document_id, count(*) AS n_chunks, m
     lambda s, d: text.reconstruct(_chunks(s, d), "##").select("document_id", "n_chunks", F.md5(F.encode("content", "UTF-8")).alias("h")))
 query("j11_chunk_parent", _CHUNKS + " SELECT chunk_id, lang, source FROM c JOIN documents ON doc_id = document_id")(lambda s, d: _chunks(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source"), "document_id").select("chunk_id", "lang", "source"))
 query("n13_clean_text", r"SELECT doc_id, md5(translate(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), ',;:', '，；：')) AS h FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.encode(text.clean_text(F.col("text")), "UTF-8")).alias("h")))
-query("x14_strategy", r"SELECT doc_id, CASE WHEN length(text) > 5000 AND contains(text, chr(10) || chr(10)) THEN 'paragraph' ELSE 'recursive' END AS strategy FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", text.choose_strategy(F.col("text")).alias("strategy")))
 for _how in text.SPLITTERS:
     query(f"x0_split_{_how}")(lambda s, d, how=_how: text.split_documents(table(s, d, "documents"), 512, how))
 query("n01_dictionary_mentions", "WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS name FROM documents) SELECT id, name, 'Word' AS type, count(*) AS n FROM w WHERE name IN ('the', 'and', 'der', 'les') GROUP BY ALL")(

@@ -322,6 +322,8 @@ def _split_sizes(s: SparkSession, d: str) -> DataFrame:
 _HEADS = "len(regexp_extract_all(text, '(?m)^{0}[ \\t\\n\\f\\r]+')) > 0"
 query("x14_select_strategy", rf"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?m)^#{{1,6}}\s+.+$')) >= 3 THEN 'markdown' WHEN length(text) > 5000 AND NOT regexp_matches(text, '第[一二三四五六七八九十\d]+[章节部分篇]|【.+】|\d+\.\s+[A-Z\x{{4e00}}-\x{{9fff}}]') THEN 'semantic'
  WHEN ({_HEADS.format('#')} AND {_HEADS.format('##')}) OR ({_HEADS.format('##')} AND {_HEADS.format('###')}) THEN 'hierarchical' ELSE 'recursive' END AS strategy FROM documents""")(lambda s, d: table(s, d, "documents").select("doc_id", text.select_strategy(F.col("text")).alias("strategy")))
+query("x14_strategy", rf"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?m)^#{{1,6}}\s+.+$')) >= 3 THEN 'markdown' WHEN length(text) > 5000 AND NOT regexp_matches(text, '第[一二三四五六七八九十\d]+[章节部分篇]|【.+】|\d+\.\s+[A-Z\x{{4e00}}-\x{{9fff}}]') THEN 'paragraph'
+ WHEN ({_HEADS.format('#')} AND {_HEADS.format('##')}) OR ({_HEADS.format('##')} AND {_HEADS.format('###')}) THEN 'hierarchical' ELSE 'recursive' END AS strategy FROM documents""")(lambda s, d: table(s, d, "documents").select("doc_id", text.run_strategy(F.col("text")).alias("strategy")))
 query("x15_contextual", f"{_CHUNKS} SELECT chunk_id, md5('[上下文] ' || left(lang || ' ' || source, 200) || chr(10) || content) AS h FROM c JOIN documents ON doc_id = document_id")(
     lambda s, d: text.contextual(_chunks(s, d), table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "lang", "source").alias("context"))).select("chunk_id", F.md5(F.encode("content", "UTF-8")).alias("h")))
 _PATTERNS = [(r"[0-9]{3,}", "Number", 0.75), (r"[A-Z][a-z]{9,}", "Name", 0.7), (r"[0-9]+\.[0-9]+", "Decimal", 0.8), (r"[A-Za-z]{12,}", "Name", 0.6)]
@@ -329,6 +331,18 @@ query("n04_pattern_entities", "SELECT id, name, type, strpos(text, name) - 1 AS
     lambda s, d: text.pattern_mentions(table(s, d, "documents"), _PATTERNS, "doc_id", "text").select("id", "name", "type", "start"))
 for _how in text.REPEATING:
     query(f"x0_split_{_how}")(lambda s, d, how=_how: text.split_documents(table(s, d, "documents"), 512, how))
+_FOLD_SQL = """WITH RECURSIVE p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM
+ (SELECT doc_id, list_filter(list_transform({parts}, lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32))), lambda x: x <> '') AS parts FROM documents)),
+f AS (SELECT doc_id, 0::BIGINT AS k, NULL::VARCHAR AS held, 0::BIGINT AS n, []::VARCHAR[] AS made FROM documents
+ UNION ALL SELECT doc_id, g.k, CASE WHEN big THEN NULL WHEN cut THEN concat_ws(chr(10) || chr(10), tail, part) ELSE concat_ws(chr(10) || chr(10), held, part) END,
+  CASE WHEN big THEN 0 WHEN cut THEN coalesce(length(tail), 0) + length(part) ELSE n + length(part) END,
+  CASE WHEN big THEN list_concat(CASE WHEN held IS NULL THEN [] ELSE [held] END, list_transform(range(0, length(part), 437), lambda u: substring(part, u + 1, 512))) WHEN cut THEN [held] ELSE [] END
+ FROM (SELECT f.doc_id, p.k, held, n, part, length(part) > 512 AS big, held IS NOT NULL AND n >= 384 AS cut, nullif(CASE WHEN trim(right(held, 75), chr(9) || chr(10) || chr(13) || chr(32)) = '' THEN '' ELSE right(held, 75) END, '') AS tail FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1) g),
+e AS (SELECT doc_id, k, unnest(made) AS content, generate_subscripts(made, 1) AS j FROM f UNION ALL SELECT doc_id, max(k) + 1, arg_max(coalesce(held, ''), k), 1 FROM f GROUP BY doc_id),
+c AS (SELECT doc_id, content, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1)::INT AS chunk_index FROM e WHERE trim(content) <> '')
+SELECT doc_id || '_chunk_' || chunk_index AS chunk_id, doc_id AS document_id, '{how}' AS strategy, chunk_index, content FROM c"""
+for _how, _parts in (("sentence", "regexp_extract_all(text, '[^。！？；.!?]*[。！？；.!?]|[^。！？；.!?]+')"), ("paragraph", r"string_split_regex(text, '\n\s*\n')")):
+    query(f"x0_split_{_how}", _FOLD_SQL.format(parts=_parts, how=_how))(lambda s, d, how=_how: text.split_documents(table(s, d, "documents"), 512, how))
 # phrases: pairs of neighbouring words of the benchmark's texts, of four letters or more, and single ones of eight
 _PHRASES_SQL = """w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), p AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w)),
  dict AS (SELECT DISTINCT name, 'T' || length(name) % 3 AS type FROM (SELECT a || ' ' || b AS name FROM p WHERE length(a) > 3 AND length(b) > 3 UNION ALL SELECT a FROM p WHERE length(a) > 7)),

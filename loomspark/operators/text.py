@@ -64,40 +64,18 @@ def split_markdown(text: str, size: int) -> list[str]:
     return [p for s in sections for p in split_recursive(s, size)]
 
 
-def split_sentences(text: str, size: int) -> list[str]:
-    """Sentences, merged greedily up to ``size``."""
-    out, held = [], ""
-    for part in re.split(r"(?<=[。！？.!?])\s*", text):
-        if held and len(held) + len(part) + 1 > size:
-            out += split_recursive(held, size)
-            held = ""
-        held = f"{held} {part}" if held else part
-    return out + split_recursive(held, size)
-
-
-def split_paragraphs(text: str, size: int) -> list[str]:
-    """Paragraphs, merged greedily up to ``size``."""
-    out, held = [], ""
-    for part in re.split(r"\n\s*\n", text):
-        if held and len(held) + len(part) + 2 > size:
-            out += split_recursive(held, size)
-            held = ""
-        held = f"{held}\n\n{part}" if held else part
-    return out + split_recursive(held, size)
-
-
 def split_hybrid(text: str, size: int) -> list[str]:
     """As Markdown where there is a heading's mark or a fence, else recursively."""
     return split_markdown(text, size) if "#" in text or "```" in text else split_recursive(text, size)
 
 
 def split_headed(text: str, size: int, headings: tuple[str, ...] = ()) -> list[str]:
-    """Sections from heading to heading (any of the patterns ``headings``), long ones further by paragraphs; without headings recursively."""
+    """Sections from heading to heading (any of the patterns ``headings``), long ones further recursively; without headings recursively."""
     marks = [m.start() for m in re.finditer("|".join(headings), text)] if headings else []
     if not marks:
         return split_recursive(text, size)
     sections = [text[a:b].strip() for a, b in zip([0, *marks], [*marks, len(text)])]
-    return [p for s in sections if s for p in ([s] if len(s) <= size else split_paragraphs(s, size))]
+    return [p for s in sections if s for p in ([s] if len(s) <= size else split_recursive(s, size))]
 
 
 def split_hierarchical(text: str, size: int, parent: int = 1024) -> list[str]:
@@ -132,14 +110,54 @@ def split_streaming(text: str, size: int, overlap: int = 75, back: int = 100) ->
     return out
 
 
-SPLITTERS = {"recursive": split_recursive, "markdown": split_markdown, "sentence": split_sentences, "paragraph": split_paragraphs, "hybrid": split_hybrid}
+SPLITTERS = {"recursive": split_recursive, "markdown": split_markdown, "hybrid": split_hybrid}
 #: These give some of the text more than once: in a parent and its children, or where windows overlap.
 REPEATING = {"hierarchical": split_hierarchical, "streaming": split_streaming}
+_SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+#: Where texts are parted before the parts are merged again into chunks with an overlap; at a sentence's end whatever follows.
+FOLDED = {"sentence": rf"(?<=[。！？；.!?]){_SPACE}*", "paragraph": rf"\n{_SPACE}*\n"}
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
+
+
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """``size`` characters each, ``size - overlap`` apart; of an empty text none."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.substring(text, at + 1, F.lit(size)))
+
+
+def merged_parts(parts: Column, size: int = 512, overlap: int = 75, soft: int | None = None, separator: str = "\n\n") -> Column:
+    """Chunks of the array ``parts``, by one fold over it.
+
+    Parts gather in a chunk until they have ``soft`` characters (0.75 of ``size`` if null), separators not counted; the next
+    chunk then begins with the last ``overlap`` characters of that one as a part of its own, unless these are blank. A part of
+    over ``size`` characters ends the chunk and is cut into windows, after which nothing is carried over. So a chunk has fewer
+    than ``soft + size`` characters and its separators. No parts, no chunks; a null array gives null.
+    """
+    soft = int(size * 0.75) if soft is None else soft
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
+    with_held = lambda s: F.array_compact(F.array_append(s.done, s.held))
+
+    def step(s: Column, part: Column) -> Column:
+        tail = F.right(s.held, F.lit(overlap)) if overlap > 0 else F.lit("")
+        carried = F.when(F.length(stripped(tail)) > 0, tail)
+        begun = F.struct(with_held(s).alias("done"), F.concat_ws(separator, carried, part).alias("held"), (F.coalesce(F.length(carried), F.lit(0)) + F.length(part)).alias("n"))
+        grown = F.struct(s.done.alias("done"), F.concat_ws(separator, s.held, part).alias("held"), (s.n + F.length(part)).alias("n"))
+        cut = F.struct(F.concat(with_held(s), windows(part, size, overlap)).alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
+        return F.when(F.length(part) > size, cut).when(s.held.isNotNull() & (s.n >= soft), begun).otherwise(grown)
+
+    return F.aggregate(parts, none, step, with_held)
 
 
-def choose_strategy(text: Column) -> Column:
-    """markdown for three headings or more, paragraph for long texts without structure but with blank lines, else recursive."""
-    return F.when(F.regexp_count(text, F.lit(r"(?m)^#{1,6} ")) >= 3, "markdown").when((F.length(text) > 5000) & F.contains(text, F.lit("\n\n")), "paragraph").otherwise("recursive")
+def folded_chunks(docs: DataFrame, size: int, strategy: str, overlap: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of whole sentences or paragraphs (``strategy`` of FOLDED), see merged_parts(). Null and blank texts have none; rows without an id go."""
+    parts = F.filter(F.transform(F.split(F.col("text"), FOLDED[strategy]), stripped), lambda p: p != "")
+    x = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("document_id"), F.col(text_col).alias("text"))
+    x = x.select("document_id", F.filter(merged_parts(parts, size, overlap), lambda p: stripped(p) != "").alias("chunks")).select("document_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    return x.select(F.concat_ws("_chunk_", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", F.lit(strategy).alias("strategy"), "chunk_index", "content")
 
 
 def select_strategy(text: Column, sections: str | None = None) -> Column:
@@ -176,20 +194,33 @@ def extracted(mentions: DataFrame) -> DataFrame:
     return non_overlapping(x.select("id", "name", F.col("at.start").alias("start"), F.col("at.end").alias("end"), F.round(F.least(F.lit(1.0), F.col("c") + raised), 6).alias("confidence")))
 
 
+def run_strategy(text: Column) -> Column:
+    """The strategy by which split_documents() splits a text: select_strategy()'s, with paragraphs for semantic, which needs vectors."""
+    how = select_strategy(F.coalesce(text, F.lit("")))
+    return F.when(how == "semantic", "paragraph").otherwise(how)
+
+
 def split_documents(docs: DataFrame, size: int = 512, strategy: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks by one strategy, or by the one chosen for each text; blank chunks are skipped and the index is dense."""
+    """Chunks by one strategy, or by the one chosen for each text; blank chunks are skipped and the index is dense.
+
+    Sentences and paragraphs are folded by SQL functions; the others, sequential inside a text, read Arrow batches and hand on
+    each text's chunks by themselves.
+    """
+    if strategy in FOLDED:
+        return folded_chunks(docs, size, strategy, id_col=id_col, text_col=text_col)
+    every = {**SPLITTERS, **REPEATING}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for doc, text, how in zip(pdf["id"], pdf["text"], pdf["how"]):
-                for k, part in enumerate(p for p in {**SPLITTERS, **REPEATING}[how](text or "", size) if p.strip()):
-                    rows.append((f"{doc}_chunk_{k}", doc, how, k, part))
-            yield pd.DataFrame(rows, columns=["chunk_id", "document_id", "strategy", "chunk_index", "content"])
+                rows = [(f"{doc}_chunk_{k}", doc, how, k, part) for k, part in enumerate(p for p in every[how](text or "", size) if p.strip())]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["chunk_id", "document_id", "strategy", "chunk_index", "content"])
 
-    how = F.lit(strategy) if strategy else choose_strategy(F.coalesce(text_col, F.lit("")))
+    how = F.lit(strategy) if strategy else run_strategy(F.col(text_col))
     x = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), how.alias("how"))
-    return x.mapInPandas(run, "chunk_id string, document_id bigint, strategy string, chunk_index int, content string")
+    out = (x if strategy else x.where(~F.col("how").isin([*FOLDED]))).mapInPandas(run, "chunk_id string, document_id bigint, strategy string, chunk_index int, content string")
+    return out if strategy else out.unionByName(folded_chunks(x.where("how = 'paragraph'"), size, "paragraph", id_col="id"))
 
 
 def split_stats(chunks: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def test_splitters_keep_all_words():
     for _ in range(60):
         body = "".join(rnd.choice(["word ", "long sentence here. ", "\n\n", "# Heading\n", "。", "x" * 40, "```\n# code\n```\n"]) for _ in range(rnd.randrange(60)))
         bare = re.sub(r"\s", "", body)
-        for name in ("recursive", "markdown", "sentence", "paragraph", "hybrid"):
+        for name in text.SPLITTERS:
             parts = text.SPLITTERS[name](body, 100)
             assert re.sub(r"\s", "", "".join(parts)) == bare, name
             assert all(len(p) <= 100 for p in parts if name in ("recursive", "hybrid"))
