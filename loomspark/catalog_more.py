@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from loomspark.operators import fulltext, graph, knowledge, merge, phrases, qual
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
+from loomspark.streaming import ingest
 
 # --- mentions: long words of the benchmark are the entities, typed by their length ------------------------------------
 
@@ -425,3 +428,28 @@ query("k05_fuse_whole", WITH + f""", {_FUSE_SQL},
  SELECT DISTINCT source, target, relation FROM x JOIN ent e ON e.c = source JOIN ent f ON f.c = target JOIN onto ON s = e.type AND r = relation AND (t IS NULL OR t = f.type)""")(
     lambda s, d: relations.fuse(model.nodes(s, d).select("name", F.col("label").alias("type")), _graph_relations(s, d), s.createDataFrame([], "abbr string, canonical string"), s.createDataFrame(_CANONICAL, "synonym string, entity_type string, canonical string"),
         s.createDataFrame(_ALIGN, "phrase string, relation string, ord int"), s.createDataFrame(_ALLOWED, "src_type string, relation string, dst_type string")))
+
+# --- ingest in batches: all documents, then all again with the German ones changed ------------------------------------
+
+_CLEAN = r"nullif(translate(trim(regexp_replace({0}, '[ \t\n\x0b\f\r]+', ' ', 'g')), ',;:', '，；：'), '')"
+_BATCHES = f"""WITH d AS (SELECT doc_id::VARCHAR AS id, {_CLEAN.format('text')} AS a, {_CLEAN.format("CASE WHEN lang = 'de' THEN text || ' v2' ELSE text END")} AS b FROM documents),
+ one AS (SELECT id, a AS c, CASE WHEN a IS NULL THEN 'failed' WHEN id = min(id) OVER (PARTITION BY a) THEN 'added' ELSE 'duplicate' END AS status FROM d),
+ known AS (SELECT id, c FROM one WHERE status = 'added'),
+ two AS (SELECT d.id, b AS c, CASE WHEN b IS NULL THEN 'failed' WHEN known.c = b THEN 'unchanged' WHEN b IN (SELECT c FROM known) OR d.id <> min(d.id) OVER (PARTITION BY b) THEN 'duplicate' WHEN known.id IS NOT NULL THEN 'updated' ELSE 'added' END AS status FROM d LEFT JOIN known USING (id)),
+ every AS (SELECT 0::BIGINT AS seq, * FROM one UNION ALL SELECT 1, * FROM two)"""
+
+
+def _ingested(s: SparkSession, d: str) -> str:
+    """The folder of a log of two batches, of which the first is handed in twice."""
+    root, docs = f"{graph.shared_folder(s)}/ingest-{uuid.uuid4().hex}", table(s, d, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
+    changed = F.when(F.col("lang") == "de", F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
+    for key, content in (("all", F.col("text")), ("all", F.col("text")), ("again", changed)):
+        ingest.ingest_batch(docs.select("document_id", content.alias("content")), key, root)
+    return root
+
+
+query("m12_ingest_results", _BATCHES + " SELECT seq, id AS document_id, status, CASE WHEN status IN ('added', 'updated') THEN (length(c) - 1) // 437 + 1 ELSE 0 END::BIGINT AS n_chunks FROM every")(
+    lambda s, d: ingest.results(s, _ingested(s, d)).select("seq", "document_id", "status", "n_chunks"))
+query("m05_ingested_chunks", _BATCHES + """, now AS (SELECT id, arg_max(c, seq) AS c FROM every WHERE status IN ('added', 'updated') GROUP BY id)
+ SELECT id AS document_id, (u // 437)::INT AS chunk_index, id || '_chunk_' || (u // 437) AS chunk_id, md5(substring(c, u + 1, 512)) AS h FROM (SELECT id, c, unnest(range(0, length(c), 437)) AS u FROM now)""")(
+    lambda s, d: ingest.snapshot(s, _ingested(s, d)).select("document_id", "chunk_index", "chunk_id", F.md5(F.encode("content", "UTF-8")).alias("h")))

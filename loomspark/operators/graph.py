@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -134,14 +134,19 @@ def communities(graph: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"communities have not settled after {rounds} rounds")
 
 
-def _cut(df: DataFrame, by: str | None = None) -> DataFrame:
-    """``df`` as a table written in the checkpoint folder, where its lineage ends; in a folder for each value of ``by``."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; in local mode one is made if it is unset."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
-    path = f"{sc.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def _cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a table written in the checkpoint folder, where its lineage ends; in a folder for each value of ``by``."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomspark_path = path
