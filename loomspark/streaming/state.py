@@ -1,4 +1,4 @@
-"""Stateful and streaming operators: rate limits, circuit breakers, error rollups and windowed counts."""
+"""Stateful and streaming operators: rate limits, error batches, circuit breakers, error rollups and windowed counts."""
 
 from __future__ import annotations
 
@@ -22,17 +22,60 @@ def decide(times: list[float], recent: list[float], limit: int, seconds: float)
     return out, recent
 
 
-def rate_limit(requests: DataFrame, limit: int = 10, seconds: float = 60.0) -> DataFrame:
-    """Streaming ``requests(key, ts)`` with allowed; state per key is at most ``limit`` times."""
+def rate_limit(requests: DataFrame, limit: int = 10, seconds: float = 60.0, late: str = "0 seconds") -> DataFrame:
+    """Streaming ``requests(key, ts)`` with allowed; state per key is at most ``limit`` times.
+
+    A key's state goes once no request came for ``seconds`` of the clock and the watermark of ``ts``, ``late`` behind the newest
+    request of all keys, is beyond its window; so a stream that lags behind its clock keeps it. No request is dropped as late.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            if not recent or state.getCurrentWatermarkMs() / 1000.0 >= recent[-1] + seconds:
+                state.remove()
+            else:
+                state.setTimeoutDuration(max(1, int(seconds * 1000)))
+            return
         rows = pd.concat(list(batches)).sort_values("ts")
         allowed, recent = decide([t.timestamp() for t in rows["ts"]], recent, limit, seconds)
         state.update((recent,))
+        state.setTimeoutDuration(max(1, int(seconds * 1000)))
         yield pd.DataFrame({"key": rows["key"], "ts": rows["ts"], "allowed": allowed})
 
-    return requests.select("key", "ts").groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, allowed boolean", "recent array<double>", "append", "NoTimeout")
+    x = requests.select("key", "ts").withWatermark("ts", late).groupBy("key")
+    return x.applyInPandasWithState(run, "key string, ts timestamp, allowed boolean", "recent array<double>", "append", "ProcessingTimeTimeout")
+
+
+def error_batches(errors: DataFrame, most: int = 10, seconds: float = 5.0) -> DataFrame:
+    """Streaming ``errors(key, payload)`` in batches (key, cause, payloads): as soon as a key has ``most``, or what it has ``seconds`` after its first.
+
+    ``cause`` is full or time. State is at most ``most - 1`` payloads a key, and none for a key that waits for nothing. Payloads of
+    a key stay in the order in which they come; null ones stay.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        held, since = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        now = state.getCurrentProcessingTimeMs()
+        out = lambda cause, part: pd.DataFrame({"key": [key[0]], "cause": [cause], "payloads": [part]})
+        if state.hasTimedOut:
+            state.remove()
+            yield out("time", held)
+            return
+        for rows in batches:
+            for payload in rows["payload"]:
+                since = since if held else now
+                held.append(None if pd.isna(payload) else payload)
+                if len(held) >= most:
+                    yield out("full", held)
+                    held = []
+        if held:
+            state.update((held, since))
+            state.setTimeoutDuration(max(1, int(since + seconds * 1000) - now))
+        elif state.exists:
+            state.remove()
+
+    return errors.select("key", "payload").groupBy("key").applyInPandasWithState(run, "key string, cause string, payloads array<string>", "held array<string>, since bigint", "append", "ProcessingTimeTimeout")
 
 
 def rate_limit_batch(requests: DataFrame, limit: int = 10, seconds: float = 60.0) -> DataFrame:
