@@ -217,23 +217,59 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return large.join(least, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Links (u > v) of a task as stars: each node with the least one it is connected to by about ``most`` of them at a time."""
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        ends = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+        nodes, at = np.unique(ends, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        low = np.arange(len(nodes))
+        while True:
+            before = low.copy()
+            np.minimum.at(low, before[a], before[b])  # a root takes the least root it is linked with
+            np.minimum.at(low, before[b], before[a])
+            low = low[low]
+            if (low == before).all() and (low[a] == low[b]).all():
+                break
+        moved = np.flatnonzero(low != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[low[moved]])], ["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        if sum(x.shape[1] for x in held) >= most:
+            found = stars()
+            held = [np.stack([found.column(0).to_numpy(), found.column(1).to_numpy()])]
+            if found.num_rows * 2 > most:
+                yield found
+                held = []
+    yield stars()
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node of ``edges(u > v)`` has two lesser neighbours, or one and a greater one: else they are stars around the least."""
+    ends = edges.select("u", F.lit(1).alias("d")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("d")))
+    many = ends.groupBy("u").agg(F.sum("d").alias("down"), F.count("*").alias("both")).where("down > 1 or down = 1 and both > 1")
+    return bool(many.limit(1).count())
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(id, component_id) of every node of ``links(a, b)``: the smallest id reachable. RuntimeError if ``max_rounds`` don't settle it.
 
-    Each round joins links with the least neighbour of a node, which is found with partial sums on the map side; the rounds
-    grow with the logarithm of the longest path. A hub's links (16 bytes each) meet in a join whose other side has one row a
-    node, so adaptive execution splits a skewed hub. Shuffle partitions are set by the number of links, up to the session's.
+    Each task first turns its links into stars, about a million at a time, so that few rounds are left. A round joins links
+    with the least neighbour of a node, which is found with partial sums on the map side; the rounds grow with the logarithm
+    of the longest path. A hub's links (16 bytes each) meet in a join whose other side has one row a node, so adaptive
+    execution splits a skewed hub. Shuffle partitions are set by the number of links, up to the session's.
     """
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    now = state(edges)
-    with partitions_for(links.sparkSession, now[0]):
+    stars = lambda df: written(df.mapInArrow(_forest, "u bigint, v bigint"), "links")
+    edges = stars(links.where("a <> b").select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")))
+    with partitions_for(links.sparkSession, edges.count()):
         for _ in range(max_rounds):
-            before, edges = edges, written(_star_round(edges), "links")
-            dropped(before)
-            seen, now = now, state(edges)
-            if now == seen:
+            if not _unsettled(edges):
                 break
+            before, edges = edges, stars(_star_round(edges))
+            dropped(before)
         else:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))).distinct()
