@@ -11,6 +11,7 @@ from loomspark.operators import fulltext, intents, knowledge, retrieval, search
 from loomspark.plans import model
 from loomspark.plans.model import WITH
 from loomspark.session import table
+from loomspark.sources import encodings, records
 
 #: Words that tell how to search these four languages' turns.
 WIDE, NARROW, NUMERIC = ["the", "les", "los", "die"], ["of", "dans", "para", "mit"], ["was", "par"]
@@ -154,3 +155,13 @@ query("e24_golden_set", WITH + """, o AS (SELECT DISTINCT type, src, dst FROM ed
  a AS (SELECT type, src, n_answers, dst FROM c JOIN o USING (type, src) QUALIFY row_number() OVER (PARTITION BY type, src ORDER BY dst) <= 5)
  SELECT type, src, replace(CASE type """ + " ".join(f"WHEN '{t}' THEN '{q}'" for t, q in TEMPLATES.items()) + """ END, '{src}', src) AS question, string_agg(dst, ',' ORDER BY dst) AS expected, n_answers FROM a GROUP BY type, src, n_answers""")(
     lambda s, d: search.golden_set(model.edges(s, d), TEMPLATES, 500))
+
+# --- sources: texts written in three encodings and read back, and a report in Markdown ---------------------------------
+
+query("s07_encodings", """WITH x AS (SELECT doc_id, text, text <> '' AND doc_id % 3 = 1 AS wide, doc_id % 3 = 2 AND regexp_matches(text, '[\\x{80}-\\x{ff}]') AND NOT regexp_matches(text, '[^\\x00-\\x{ff}]') AS latin FROM documents)
+ SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN wide THEN 'utf-16-le' WHEN latin THEN 'latin-1' ELSE 'utf-8' END AS encoding, md5(text) AS h FROM x""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", encodings.decoded(F.when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16LE")).when((F.col("doc_id") % 3 == 2) & ~F.col("text").rlike(r"[^\x00-\xFF]"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))).alias("x"))
+    .select("doc_id", "x.encoding", F.md5(F.encode("x.text", "UTF-8")).alias("h")))
+query("s21_markdown_report", """WITH g AS (SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL), b AS (SELECT row_number() OVER (ORDER BY lang NULLS FIRST, source NULLS FIRST) + 1 AS line_no, '| ' || coalesce(lang, '') || ' | ' || coalesce(source, '') || ' | ' || n || ' | ' || coalesce(chars::VARCHAR, '') || ' |' AS line FROM g)
+ SELECT line_no, line FROM b UNION ALL SELECT 0, '| lang | source | n | chars |' UNION ALL SELECT 1, '|---|---|---|---|'""")(
+    lambda s, d: records.markdown(table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), ["lang", "source"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources.encodings import decoded
+
 KINDS = {"txt": "text", "md": "markdown", "csv": "csv", "tsv": "csv", "json": "json", "html": "html", "htm": "html", "xml": "xml"}
 
 
@@ -36,13 +38,13 @@ def csv_markdown(content: Column) -> Column:
 
 
 def load_documents(spark: SparkSession, path: str, least_chars: int = 10) -> DataFrame:
-    """All files below ``path`` (recursively) of a known suffix, one row each; short or unknown ones carry an error instead of a content."""
+    """All files below ``path`` (recursively) of a known suffix, one row each, in any encoding of encodings.decode(); short or unknown ones carry an error instead of a content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.lit(None).cast("string")
     for name, value in KINDS.items():
         kind = F.when(suffix == name, value).otherwise(kind)
-    raw = F.make_valid_utf8(F.col("content").cast("string"))
+    raw = decoded(F.col("content"))["text"]
     x = files.select(F.md5(F.encode("path", "UTF-8")).alias("id"), "path", kind.alias("kind"), raw.alias("raw"))
     text = F.when(F.col("kind") == "html", html_text(F.col("raw"))).when(F.col("kind") == "csv", csv_markdown(F.col("raw"))).when(F.col("kind") == "xml", F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?s)<[^>]*>", " "), r"\s+", " "))).otherwise(F.col("raw"))
     title = F.when(F.col("kind") == "html", html_title(F.col("raw"))).when(F.col("kind") == "markdown", F.regexp_extract("raw", r"(?m)^#\s+(.+)$", 1)).otherwise(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
