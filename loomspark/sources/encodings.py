@@ -15,14 +15,14 @@ _HIGH = np.zeros(256, bool)
 _HIGH[[0x00, 0x20, 0x30, 0xFF, *range(0x4E, 0xA0)]] = True
 
 
-def _tries(data: bytes) -> str | None:
-    """UTF-16 without a mark: one half of the units is nearly all high bytes, or zeros, and the other isn't."""
+def _wide(data: bytes, zeros: bool) -> str | None:
+    """UTF-16 without a mark: half of one byte of the units are zeros and fewer of the other; or, in eight units or more, nearly all of one are high bytes and the other isn't."""
     if len(data) < 2 or len(data) % 2:
         return None
     halves = np.frombuffer(data, np.uint8).reshape(-1, 2)
     zero, high = (halves == 0).mean(0), _HIGH[halves].mean(0)
     for at, name in ((1, "utf-16-le"), (0, "utf-16-be")):
-        if zero[at] >= 0.5 > zero[1 - at] or (high[at] >= 0.9 and high[1 - at] <= 0.7):
+        if zero[at] >= 0.5 > zero[1 - at] if zeros else len(halves) >= 8 and high[at] >= 0.9 and high[1 - at] <= 0.7:
             return name
     return None
 
@@ -39,8 +39,7 @@ def decode(data: bytes) -> tuple[str, str]:
     for mark, name in MARKS:
         if data.startswith(mark):
             return name, data.decode(name, "replace")
-    wide = _tries(data)
-    for name in (wide, "utf-8", "gb18030"):
+    for name in (_wide(data, True), "utf-8", "gb18030", _wide(data, False)):
         if name is None:
             continue
         try:
