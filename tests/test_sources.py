@@ -18,7 +18,7 @@ def test_decode(text, codec, name):
     assert decode(text.encode(codec)) == (name, text)
 
 
-@pytest.mark.parametrize("text", ["Te keitä engeß stäzu üzuver der.", "Un ieñ cióncojami.", "Ñóasar llie lles lo se osmentees.", "Éé de."])
+@pytest.mark.parametrize("text", ["Te keitä engeß stäzu üzuver der.", "Un ieñ cióncojami.", "Ñóasar llie lles lo se osmentees.", "Éé de.", "Èeuxè " * 9])
 def test_short_latin_texts_are_no_han(text):
     assert decode(text.encode("latin-1")) == ("latin-1", text)
     assert decode(text.encode("utf-16-le")) == ("utf-16-le", text)
