@@ -9,28 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of at most this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge both ways as (edge_id, at, next, type); a self-loop once."""
     back = edges.where("src <> dst").select("edge_id", F.col("dst").alias("at"), F.col("src").alias("next"), "type")
     return edges.select("edge_id", F.col("src").alias("at"), F.col("dst").alias("next"), "type").unionByName(back)
 
 
-def expand(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None = None) -> DataFrame:
-    """Trails of 1..depth undirected edges from ``seeds(node_id)``: (start, end, hops, path, types, edge_ids); no edge twice on a trail."""
+def expand(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None = None, target: str | None = None) -> DataFrame:
+    """Trails of 1..depth undirected edges from ``seeds(node_id)``: (start, end, hops, path, types, edge_ids); no edge twice on a trail.
+
+    Each step's ends are written and, up to BROADCAST_ROWS, broadcast to pick their edges before anything is shuffled; only
+    steps from more ends than that join all edges. With a ``target`` only trails that end there are given, and the last step
+    reads its edges alone.
+    """
     steps = undirected(edges if types is None else edges.where(F.col("type").isin(types)))
     here = seeds.select(F.col("node_id").alias("start"), F.col("node_id").alias("end"), F.lit(0).alias("hops"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("types"), F.array().cast("array<string>").alias("edge_ids"))
     out = None
-    for _ in range(depth):
-        here = here.join(steps, here["end"] == steps["at"]).where(~F.array_contains("edge_ids", F.col("edge_id"))).select(
+    for hop in range(1, depth + 1):
+        near = steps.where(F.col("next") == target) if target is not None and hop == depth else steps
+        ends = _cut(here.select(F.col("end").alias("at")).distinct())
+        few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        if few:
+            near = near.join(F.broadcast(ends), "at", "left_semi")
+        here = here.join(near, here["end"] == near["at"]).where(~F.array_contains("edge_ids", F.col("edge_id"))).select(
             "start", F.col("next").alias("end"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"), F.array_append("types", F.col("type")).alias("types"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids")
         )
-        out = here if out is None else out.unionByName(here)
+        if hop < depth:
+            here = _cut(here)
+        found = here if target is None else here.where(F.col("end") == target)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def find_paths(edges: DataFrame, a: DataFrame, target: str, max_depth: int = 3, limit: int = 5) -> DataFrame:
     """The ``limit`` shortest trails from a seed to ``target``, ties by path."""
-    return expand(edges, a, max_depth).where(F.col("end") == target).select("hops", F.array_join("path", ",").alias("path")).orderBy("hops", "path").limit(limit)
+    return expand(edges, a, max_depth, target=target).select("hops", F.array_join("path", ",").alias("path")).orderBy("hops", "path").limit(limit)
 
 
 def multi_hop(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
