@@ -39,9 +39,13 @@ def disambiguate(entities: DataFrame) -> DataFrame:
     return x.select("canonical", F.array_join(F.array_distinct(F.transform("r", lambda e: e["type"])), ",").alias("types"), F.array_join(F.array_distinct(F.transform("r", lambda e: e["name"])), ",").alias("names"))
 
 
-def valid_relations(relations: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Relations (src_type, relation, dst_type) that the ontology allows."""
-    return relations.join(ontology, ["src_type", "relation", "dst_type"], "left_semi")
+def valid_relations(relations: DataFrame, ontology: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Relations (src_type, relation, dst_type) that the ontology allows.
+
+    Up to ``rows`` rows of it are broadcast: dealt by types, all relations of one kind would meet in one task.
+    """
+    small = ontology.limit(rows + 1).count() <= rows
+    return relations.join(F.broadcast(ontology) if small else ontology, ["src_type", "relation", "dst_type"], "left_semi")
 
 
 def search_terms(terms: DataFrame, query: str, limit: int = 10) -> DataFrame:
