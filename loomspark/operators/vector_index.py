@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from loomspark.operators.retrieval import dot
 
 #: Most cells that an index may have: their centres are one table of a known size, which each search broadcasts.
 MOST_CELLS = 4096
+#: Vectors of a cell, and queries, that meet in one block.
+BLOCK_MEMBERS, BLOCK_QUERIES = 4096, 4096
 
 
 def _direction(vector) -> np.ndarray | None:
@@ -92,6 +95,26 @@ def build_vector_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     return VectorIndex(members, _cut(sizes.join(F.broadcast(titles), "cell").select("cell", "centre", "radius", "n")))
 
 
+def _best_of_block(k: int):
+    """(query_id, id, dot) of a block's members and queries: each query's ``k`` best, with all that six decimals can't tell from them, none below its ``sure``."""
+
+    def best(members: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, query_ids, sure = members["id"].to_numpy(), asked["query_id"], asked["sure"].to_numpy()
+        out_q, out_m, out = [], [], []
+        if len(ids) and len(sure):
+            rows = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+            a, b = rows(members["unit"]), rows(asked["q"])
+            for at in range(0, len(b), 512):
+                dots = b[at : at + 512] @ a.T
+                least = np.partition(dots, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(dots), -np.inf)
+                q, m = np.nonzero(dots >= np.maximum(least, sure[at : at + 512])[:, None] - 2e-6)
+                out_q.append(q + at), out_m.append(m), out.append(dots[q, m])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({"query_id": query_ids.take(pa.array(join(out_q, np.int64))), "id": pa.array(ids[join(out_m, np.int64)]), "dot": pa.array(join(out, np.float64))})
+
+    return best
+
+
 def search_vectors(index: VectorIndex, queries: DataFrame, k: int = 10, share: float | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` nearest to each of ``queries(query_id, vector)`` by cosine, rounded to six decimals, ties by id.
 
@@ -106,13 +129,24 @@ def search_vectors(index: VectorIndex, queries: DataFrame, k: int = 10, share: f
     seen = seen.withColumns({"place": F.row_number().over(order), "before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     seen = _cut(seen.withColumn("bound", F.cos(F.greatest(F.lit(0.0), _angle(F.col("cos")) - F.col("radius") - 1e-7))).drop("radius"))
 
+    parts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    members = index.members.join(F.broadcast(index.cells.select("cell", parts.alias("parts"))), "cell")
+    sides = max(1, -(-asked.count() // BLOCK_QUERIES))
+    members = members.select("cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"), "id", "unit")
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in ("query_id",)} | {"id": index.members.schema["id"].dataType.simpleString()}
+
     def nearest(cells: DataFrame) -> DataFrame:
-        hits = index.members.join(few(cells.select("query_id", "q", "cell")), "cell").select("query_id", "id", F.round(dot(F.col("unit"), F.col("q")), 6).alias("similarity"))
+        """Blocks of a cell's members meet blocks of queries, and hand on the best of each query alone."""
+        side = F.pmod(F.xxhash64("query_id"), F.lit(sides)).cast("int").alias("side")
+        wanted = cells.select("query_id", "q", F.coalesce("sure", F.lit(-2.0)).alias("sure"), "cell", side, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        key = ("cell", "part", "side")
+        met = members.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(_best_of_block(k), f"query_id {kinds['query_id']}, id {kinds['id']}, dot double")
+        hits = met.select("query_id", "id", F.round("dot", 6).alias("similarity"))
         top = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
         return hits.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
     if share:
-        return nearest(seen.where(F.col("place") < index.cells.count() * share + 1))
-    first = nearest(seen.where(F.col("before") < k))
+        seen = seen.where(F.col("place") < index.cells.count() * share + 1)
+    first = nearest(seen.where(F.col("before") < k).withColumn("sure", F.lit(None).cast("double")))
     sure = first.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("sure"))
-    return nearest(seen.join(few(sure), "query_id", "left").where("sure is null or bound >= sure - 1e-6"))
+    return nearest(seen.join(few(_cut(sure)), "query_id", "left").where("sure is null or bound >= sure - 1e-6"))
