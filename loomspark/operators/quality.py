@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs of texts whose results a task hands on at once.
+ROWS = 256
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -23,30 +26,44 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _told(one: Callable[[list[str], list[str]], list[int]]):
+    """(id, m) of batches (id, p, r), the numbers of ``one`` for each row; ROWS texts are made Python strings at a time, not a whole batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, p, r = (c.slice(lo, ROWS) for c in batch.columns)
+                found = [one(a.split(" ") if a else [], b.split(" ") if b else []) for a, b in zip(p.to_pylist(), r.to_pylist())]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], ["id", "m"])
+
+    return run
+
+
+def _counted(pairs: DataFrame, one: Callable[[list[str], list[str]], list[int]], id_col: str) -> DataFrame:
+    """(id_col, m): what ``one`` tells of the tokens of each row of ``pairs``."""
+    joined = lambda c: F.array_join(tokens(F.col(c)), " ")
+    x = pairs.select(F.col(id_col).alias("id"), joined("prediction").alias("p"), joined("reference").alias("r"))
+    return x.mapInArrow(_told(one), f"id {x.schema['id'].dataType.simpleString()}, m array<bigint>").withColumnRenamed("id", id_col)
+
+
 def matches(pairs: DataFrame, sizes: tuple[int, ...], id_col: str = "id") -> DataFrame:
     """(id, n_p, n_r, common): token counts of both sides, and the multiset intersection of their n-grams for each n of ``sizes``.
 
     Counted row by row in time linear in the texts, so whole documents are never dealt out by n-gram.
     """
-    joined = lambda c: F.array_join(tokens(F.col(c)), " ")
 
-    @F.pandas_udf("array<bigint>")
-    def counts(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(p, r) -> list[int]:
-            p, r = p.split(" ") if p else [], r.split(" ") if r else []
-            out = [len(p), len(r)]
-            for n in sizes:
-                left, common = Counter(zip(*(r[k:] for k in range(n)))), 0
-                for g in zip(*(p[k:] for k in range(n))):
-                    if left.get(g, 0):
-                        left[g] -= 1
-                        common += 1
-                out.append(common)
-            return out
-
-        return pd.Series([one(p, r) for p, r in zip(a, b)], dtype=object)
-
-    x = pairs.select(id_col, counts(joined("prediction"), joined("reference")).alias("m"))
+    def one(p: list[str], r: list[str]) -> list[int]:
+        out = [len(p), len(r)]
+        for n in sizes:
+            left, common = Counter(zip(*(r[k:] for k in range(n)))), 0
+            for g in zip(*(p[k:] for k in range(n))):
+                if left.get(g, 0):
+                    left[g] -= 1
+                    common += 1
+            out.append(common)
+        return out
+
+    x = _counted(pairs, one, id_col)
     return x.select(id_col, F.col("m")[0].alias("n_p"), F.col("m")[1].alias("n_r"), F.slice("m", 3, len(sizes)).alias("common"))
 
 
@@ -77,25 +94,19 @@ def bleu(pairs: DataFrame) -> DataFrame:
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """ROUGE-L F-measure; a row of the table of common subsequences is the bits of one integer, so a long text costs a few additions a word."""
-    joined = lambda c: F.array_join(tokens(F.col(c)), " ")
 
-    @F.pandas_udf("array<bigint>")
-    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(p, r) -> list[int]:
-            p, r = p.split(" ") if p else [], r.split(" ") if r else []
-            at: dict[str, int] = {}
-            for k, w in enumerate(r):
-                at[w] = at.get(w, 0) | 1 << k
-            full = row = (1 << len(r)) - 1
-            for w in p:
-                if w in at:
-                    hit = row & at[w]
-                    row = (row + hit | row - hit) & full
-            return [len(p), len(r), len(r) - row.bit_count()]
-
-        return pd.Series([one(p, r) for p, r in zip(a, b)], dtype=object)
-
-    x = pairs.select("id", lcs(joined("prediction"), joined("reference")).alias("m"))
+    def one(p: list[str], r: list[str]) -> list[int]:
+        at: dict[str, int] = {}
+        for k, w in enumerate(r):
+            at[w] = at.get(w, 0) | 1 << k
+        full = row = (1 << len(r)) - 1
+        for w in p:
+            if w in at:
+                hit = row & at[w]
+                row = (row + hit | row - hit) & full
+        return [len(p), len(r), len(r) - row.bit_count()]
+
+    x = _counted(pairs, one, "id")
     a, b = (F.col("m")[2] / F.nullif(F.col("m")[k], F.lit(0)) for k in (0, 1))
     return x.select("id", F.round(F.coalesce(2 * a * b / F.nullif(a + b, F.lit(0.0)), F.lit(0.0)), 6).alias("rouge_l"))
 
