@@ -10,12 +10,12 @@ def normal_name(name: Column) -> Column:
     return F.replace(F.trim(F.lower(name)), F.lit(" "), F.lit(""))
 
 
-def normalise(entities: DataFrame, abbreviations: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """``entities(name, type)`` with canonical: an abbreviation (exact), else a synonym of the type (any case), else the name."""
+def normalise(entities: DataFrame, abbreviations: DataFrame, synonyms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``entities(name, type)`` with canonical: an abbreviation (exact), else a synonym of the type (any case), else the name; also the columns ``keep``."""
     x = entities.join(abbreviations.select(F.col("abbr").alias("name"), F.col("canonical").alias("_a")), "name", "left")
     s = synonyms.select(F.lower("synonym").alias("_s"), F.col("entity_type").alias("type"), F.col("canonical").alias("_c"))
     x = x.withColumn("_s", F.lower("name")).join(s, ["_s", "type"], "left")
-    return x.select("name", "type", F.coalesce("_a", "_c", "name").alias("canonical"))
+    return x.select("name", "type", *keep, F.coalesce("_a", "_c", "name").alias("canonical"))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +73,16 @@ def ego_network(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> tuple[Dat
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Undirected degree of every node, 0 included; a self-loop counts twice."""
-    ends = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"))
     counted = ends.groupBy("node_id").agg(F.count("*").alias("degree"))
     return nodes.join(counted, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
 
 
-def top_page(nodes: DataFrame, edges: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A page of nodes by degree, and the edges between two of its nodes."""
+def top_page(nodes: DataFrame, edges: DataFrame, limit: int, offset: int = 0, inner: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A page of nodes by degree, and the edges between two of its nodes; ``inner(page)`` tells these where that is cheaper than from all edges."""
     page = _cut(degrees(nodes, edges).orderBy(F.desc("degree"), "node_id").offset(offset).limit(limit))  # ``limit`` rows, used three times
+    if inner:
+        return page, inner(page)
     at = lambda c: F.broadcast(page.select(F.col("node_id").alias(c)))
     inside = edges.join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi")
     return page, inside

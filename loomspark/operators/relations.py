@@ -10,6 +10,9 @@ from loomspark.operators.fusion import normalise
 from loomspark.operators.graph import _cut
 from loomspark.operators.knowledge import few
 
+#: Relation texts that are compared as literals; more are joined.
+FEW_TEXTS = 1000
+
 
 def align(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(text, relation) of each distinct text of ``texts(text)``: the relation of the longest phrase that it contains or is contained in.
@@ -28,22 +31,35 @@ def align(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return each.join(best.unionByName(longest), "bare", "left").select("text", F.coalesce("found", "bare").alias("relation"))
 
 
-def fuse(entities: DataFrame, relations: DataFrame, abbreviations: DataFrame, synonyms: DataFrame, phrases: DataFrame, ontology: DataFrame, source_type: str = "Disease", target_type: str = "Symptom") -> DataFrame:
+def fuse(entities: DataFrame, relations: DataFrame, abbreviations: DataFrame, synonyms: DataFrame, phrases: DataFrame, ontology: DataFrame, source_type: str = "Disease", target_type: str = "Symptom", texts: DataFrame | None = None) -> DataFrame:
     """(source, target, relation), each once: ``relations(source, source_type, target, target_type, type)`` over fused ``entities(name, type)``.
 
     Names get their canonical form (fusion.normalise), where a relation's end without a type counts as ``source_type`` or
     ``target_type``; relation texts are aligned; and a relation stays if both ends are entities and the ontology
     (src_type, relation, dst_type) allows it for some of their types, a null dst_type for any. Entities of one canonical name share their types.
+    ``texts(text)`` tells the relation texts, more than those if need be, where that is cheaper than from ``relations``.
     """
+    abbreviations, synonyms = few(abbreviations), few(synonyms)
     known = normalise(entities.select("name", "type").distinct(), abbreviations, synonyms).select("canonical", "type").distinct()
+    aligned = align(relations.select(F.col("type").alias("text")) if texts is None else texts, phrases)
+    aligned = _cut(aligned.join(few(ontology.select("relation").distinct()), "relation", "left_semi"))  # no others can stay
+    some = aligned.limit(FEW_TEXTS + 1).collect()
+    if not some:
+        x = relations.where(F.lit(False)).withColumn("relation", F.lit(""))
+    elif len(some) <= FEW_TEXTS:  # as literals they go down to where the relations are read
+        told = F.create_map(*[F.lit(v) for r in some for v in (r["text"], r["relation"])])
+        x = relations.where(F.col("type").isin(*[r["text"] for r in some])).withColumn("relation", F.element_at(told, F.col("type")))
+    else:
+        x = relations.join(few(aligned.withColumnRenamed("text", "type")), "type")
 
-    def ends(name: str, kind: str, default: str) -> DataFrame:
-        named = relations.select(F.col(name).alias("name"), F.coalesce(kind, F.lit(default)).alias("type")).distinct()
-        return normalise(named, abbreviations, synonyms).select(F.col("name").alias(name), F.col("type").alias(kind), F.col("canonical").alias(f"{name}_name")).distinct()
+    def named(df: DataFrame, name: str, kind: str, default: str) -> DataFrame:
+        """``df`` with the canonical form of a name in its place."""
+        others = tuple(c for c in df.columns if c not in (name, kind))
+        each = df.select(F.col(name).alias("name"), F.coalesce(kind, F.lit(default)).alias("type"), *others)
+        return normalise(each, abbreviations, synonyms, others).select(F.col("canonical").alias(f"{name}_name"), *others)
 
-    typed = relations.withColumns({"source_type": F.coalesce("source_type", F.lit(source_type)), "target_type": F.coalesce("target_type", F.lit(target_type))})
-    x = typed.join(ends("source", "source_type", source_type), ["source", "source_type"]).join(ends("target", "target_type", target_type), ["target", "target_type"])
-    x = x.join(few(align(relations.select(F.col("type").alias("text")), phrases).withColumnRenamed("text", "type")), "type")
+    x = x.select("source", "source_type", "target", "target_type", "relation")
+    x = named(named(x, "source", "source_type", source_type), "target", "target_type", target_type)
     x = x.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), "relation").distinct()
     of = lambda name, kind: known.select(F.col("canonical").alias(name), F.col("type").alias(kind))
     rules = few(ontology.select("src_type", "relation", F.col("dst_type").alias("allowed")))
