@@ -36,6 +36,9 @@ from loomspark.llm.common import _BASE, WORD_BASES, components, dropped, lists,
 
 _U = np.uint64
 
+#: Index keys of all documents are counted and picked in so many parts, one after another, so that a part's shuffles alone are on disk.
+KEY_PARTS = 4
+
 
 @lru_cache(maxsize=None)
 def band_edges(num: int, den: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
@@ -187,20 +190,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("same"), (F.size("x") + F.size("y")).alias("both")).where(f"{den} * same >= {num} * (both - same)").select("a", "b").distinct()
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """A table of ``keyed(key, id, n)`` for the keys that two ids or more hold, with low and high (their least and greatest id) and members.
+def _shared(keyed: list[DataFrame]) -> DataFrame:
+    """A table of the keys of ``keyed(key, id, n)`` that two ids or more hold, with low and high (their least and greatest id) and members; each key is in one of the parts ``keyed`` alone.
 
     Keys are counted alone before rows meet them, so a key that very many hold is one row of the counts, and the joins with it
     are split by adaptive execution where they are skewed. Each step is a table, so the shuffle before it can go.
     """
-    twice = written(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "twice")
-    rows = written(keyed.join(twice, "key"), "rows")
-    sums = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("low <> high")
-    posts = written(rows.join(sums, "key"), "posts")
-    dropped(twice, rows)
+    rows = []
+    for part in keyed:
+        twice = written(part.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "twice")
+        rows.append(written(part.join(twice, "key"), "rows"))
+        dropped(twice)
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    sums = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("low <> high")
+    posts = written(every.join(sums, "key"), "posts")
+    dropped(*rows)
     return posts
 
 
+def _parts(signed: DataFrame, copies: DataFrame, equal: list[str]) -> list[DataFrame]:
+    """``signed`` without ``copies`` as (key, id, n), in KEY_PARTS parts by key; a part's keys are picked before anything is shuffled."""
+    out = []
+    for k in range(KEY_PARTS):
+        own = signed.where("id is not null").select("id", *equal, F.filter("keys", lambda x: F.pmod(x, F.lit(KEY_PARTS)) == k).alias("keys"))  # noqa: B023
+        out.append(own.join(copies, ["id", *equal], "left_anti").select(F.explode("keys").alias("key"), "id", "n"))
+    return out
+
+
 def _linked(posts: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, hot_members: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, common keys): links enough to connect all that share a key and reach the threshold.
 
@@ -296,7 +314,7 @@ def _joined(plain: DataFrame, posts: DataFrame, copies: DataFrame, width: int, n
         keys = again.join(own, "id", "left").select("id", "shingles", "hot").mapInArrow(_cold_keys(num, den), "id bigint, keys array<bigint>")
         cold = keys.select("id", F.explode("keys").alias("key")).distinct().join(sizes.select("id", F.col("most_n").alias("n")), "id")
         cold = written(cold.select("key", "id", "n"), "cold")
-        posts = _shared(cold)
+        posts = _shared([cold])
         dropped(hot, again, cold)
         before = links
         links, wide = _linked(posts, sets, sizes, num, den, hot_members, links)
@@ -328,8 +346,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = meta.where("n > 0 and id is not null").groupBy(*equal).agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = written(meta.where("id is not null").join(reps.where("rep <> last"), equal).where("id <> rep").select("id", *equal, "rep").distinct(), "copies")
 
-    keyed = signed.where("id is not null").join(copies, ["id", *equal], "left_anti").select(F.explode("keys").alias("key"), "id", "n")
-    posts = _shared(keyed)
+    few = copies.count() <= broadcast_rows
+    posts = _shared(_parts(signed, F.broadcast(copies) if few else copies, equal))
     dropped(signed)
     with partitions_for(docs.sparkSession, posts.count()):
         joined = _joined(plain, posts, copies, width, num, den, hot_members, broadcast_rows)
