@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from loomspark.operators.knowledge import few
 K1, B = 1.2, 0.75
 #: Blocks of a term's postings: by the share of the greatest possible score that a posting has, in steps of one of these.
 LEVELS = 32
+#: Words that a task counts at a time.
+COUNTED_WORDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -35,18 +41,33 @@ class Index:
         _drop(self.postings, self.blocks)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, size, term, tf) of the distinct words of each row's w, a list."""
+    for b in batches:
+        ends = np.cumsum(b["size"].to_numpy())
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COUNTED_WORDS, "right")))
+            part = b.slice(lo, hi - lo)
+            size, terms = part["size"].to_numpy(), pc.dictionary_encode(part["w"].flatten())
+            key, tf = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size) << 32 | terms.indices.to_numpy(), return_counts=True)
+            row = pa.array(key >> 32)
+            yield pa.RecordBatch.from_arrays([part["id"].take(row), part["size"].take(row), terms.dictionary.take(pa.array(key & 0xFFFFFFFF)), pa.array(tf)], ["id", "size", "term", "tf"])
+            lo = hi
+
+
 def build_index(texts: DataFrame, id_col: str, text_col: str) -> Index:
     """The index of ``texts``; ids are distinct, a null or empty text has no postings but counts as a text.
 
-    Occurrences are summed inside the tasks before they are shuffled. Postings are written sorted by term, so a search reads
-    the row groups of its terms alone.
+    A text's words are counted where it is read, so its counts alone are shuffled, once, and no sample of them is drawn before.
+    Postings are sorted by term within their files.
     """
     each = texts.select(F.col(id_col).alias("id"), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("w")).withColumn("size", F.size("w"))
     total, mean = each.agg(F.count("*"), F.avg("size")).first()
-    counted = each.select("id", "size", F.explode("w").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    counted = each.select("id", "size", "w").mapInArrow(_counted, f"id {each.schema['id'].dataType.simpleString()}, size int, term string, tf bigint")
     impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
     leveled = counted.select("term", "id", impact.alias("impact")).withColumn("level", F.floor(F.col("impact") * LEVELS).cast("int"))
-    postings = _cut(leveled.repartitionByRange("term", "level").sortWithinPartitions("term", "level").select("term", "level", "id", "impact"))
+    postings = _cut(leveled.repartition("term", "level").sortWithinPartitions("term", "level").select("term", "level", "id", "impact"))
     blocks = postings.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("most"), F.min("impact").alias("least"))
     df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
